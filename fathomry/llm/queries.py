@@ -7,10 +7,11 @@ from fathomry.llm.bisect import split_oversized
 from fathomry.llm.distinctive import distinctive_terms, one_row_per_record
 from fathomry.llm.idealpoint import distinct_items, ideal_point_ranking, one_sided_groups
 from fathomry.llm.leakage import leaks
+from fathomry.llm.markup import label_texts
 from fathomry.llm.mixing import mix, mix_report, plan_shares, with_tokens
 from fathomry.llm.neighbours import most_similar
 from fathomry.llm.truncation import truncated, truncation_report
-from fathomry.functions.text import terms
+from fathomry.functions.text import preview, terms
 from fathomry.plans.registry import Registry
 from fathomry.session import settle, table
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,24 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registry.query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = label_texts(table(spark, sf_dir, "chunks"), "chunk_id", "content", cleaning=False)
+    return labelled.select(F.col("record").alias("chunk_id"), F.explode("formats").alias("kind")).distinct()
+
+
+@registry.query("p7_clean")
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean content and the preview made from it, one row per chunk."""
+    once = one_row_per_record(table(spark, sf_dir, "chunks"), "chunk_id", "content", "arrived_at")
+    cleaned = label_texts(once, "record", "text")
+    kinds = F.transform("blocks", lambda b: b["kind"])
+    return cleaned.select(
+        F.col("record").alias("chunk_id"), F.array_join("formats", " ").alias("formats"), "clean_text", preview(F.col("clean_text")).alias("clean_preview"),
+        F.array_join(kinds, " ").alias("block_kinds"),
+    )
+
+
 def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
