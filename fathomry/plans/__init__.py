@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("integrity",)
+SUBJECTS = ("integrity", "corpus", "retrieval")
 
 
 def core_registries() -> list:
