@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("integrity", "corpus", "retrieval")
+SUBJECTS = ("integrity", "corpus", "retrieval", "quality")
 
 
 def core_registries() -> list:
