@@ -45,7 +45,7 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_distributed(spark: SparkSession, root: str) -> DataFrame:
-    """The same through Spark's own file source, for stores that a driver should not walk; names with a leading dot or underscore are skipped."""
+    """The same through Spark's own file source, for stores that a driver should not walk; it leaves out empty files and names with a leading dot or underscore."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select(F.regexp_replace("path", "^file:(//)?", "").alias("source_path"), "content", F.lit(None).cast("string").alias("error"))
 
