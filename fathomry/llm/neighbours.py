@@ -28,9 +28,9 @@ from fathomry.session import settle
 
 # The pivots are sent to every task: at most so many, whatever the collection's size.
 MAX_PIVOTS = 8192
-# Files lie on shelves of at most so many, and a shelf is cut into blocks of about so many postings.
+# Files lie on shelves of at most so many, and a shelf is cut into blocks of about so many entries and queries.
 SHELF = 24
-BLOCK = 8192
+BLOCK = 32_768
 # Cells of one distance matrix.
 CELLS = 2_000_000
 # The pivots whose permutation the footrule distance compares, and the classes of their places.
@@ -220,7 +220,7 @@ def search(vectors: DataFrame, k: int, index: Index, rerank: float) -> DataFrame
     """``num, other, cosine``: the k best others the index finds for each of the distinct ``vectors`` (``num, packed``)."""
     counted = vectors.mapInPandas(_sizes(index), "shelf int, entries long, queries long").groupBy("shelf").agg(F.sum("entries").alias("e"), F.sum("queries").alias("q"))
     sizes = {r.shelf: (r.e, r.q) for r in counted.collect()}
-    blocks = [np.array([max(1, math.ceil(sizes.get(s, (0, 0))[i] / size)) for s in range(int(index.shelves[-1]) + 1)]) for i, size in ((0, 4 * BLOCK), (1, BLOCK))]
+    blocks = [np.array([max(1, math.ceil(sizes.get(s, (0, 0))[i] / BLOCK)) for s in range(int(index.shelves[-1]) + 1)]) for i in (0, 1)]
     posted = vectors.mapInPandas(_post(index, *blocks), POSTED)
     found = posted.groupBy("shelf", "entry_block", "query_block").applyInPandas(_search(index, k, rerank), FOUND)
     # A query has at most k rows of each block it met, so its groups are small.
