@@ -184,6 +184,23 @@ def _best(cosine: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(cosine, top, axis=1), np.take_along_axis(names, top, axis=1)
 
 
+def _above(cosine: np.ndarray, bound: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_best``, but only what exceeds each row's bound; rows are filled up with -2."""
+    r, c = np.nonzero(cosine > bound[:, None])
+    counts = np.bincount(r, minlength=len(cosine))
+    width = int(counts.max(initial=0))
+    if width > 8 * k:
+        return _best(cosine, np.broadcast_to(names, cosine.shape), k)
+    place = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
+    found, which = np.full((len(cosine), width), -2.0, np.float32), np.zeros((len(cosine), width), np.int64)
+    found[r, place], which[r, place] = cosine[r, c], names[c]
+    return found, which
+
+
+# The footrule distance that the best share of a file stays within is taken from every so manieth entry.
+SAMPLED = 4
+
+
 def _search(index: Index, k: int, rerank: float):
     def each(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"num": np.empty(0, np.int64), "other": np.empty(0, np.int64), "cosine": np.empty(0, np.float32)})
@@ -198,18 +215,29 @@ def _search(index: Index, k: int, rerank: float):
         first = np.flatnonzero(index.shelves == index.shelves[file.max()])[0]
         for f in np.unique(file[~asked]):
             e = np.flatnonzero(file == f)
+            e = e[np.argsort(num[e], kind="stable")]
+            entries, known = whole[e], num[e]
             keep = max(8 * k, math.ceil(rerank * len(e)))
+            seen = len(e[::SAMPLED])
+            cut = max(0, seen - math.ceil(keep * seen / len(e)))
             looking = np.flatnonzero(mask[q] >> np.int64(f - first) & 1)
             step = max(1, CELLS // len(e))
             for start in range(0, len(looking), step):
                 at = looking[start : start + step]
-                cosine = whole[q[at]] @ whole[e].T
-                if keep < len(e):
+                cosine = whole[q[at]] @ entries.T
+                own = np.minimum(np.searchsorted(known, num[q[at]]), len(e) - 1)
+                mine = np.flatnonzero(known[own] == num[q[at]])
+                cosine[mine, own[mine]] = -2.0
+                # Rows that nothing here can improve need no ranking.
+                bound = cosines[at].min(axis=1)
+                live = np.flatnonzero(cosine.max(axis=1) > bound)
+                at, cosine, bound = at[live], cosine[live], bound[live]
+                if keep < len(e) and len(at):
                     close = codes[q[at]] @ codes[e].T
-                    cosine[close < np.partition(close, len(e) - keep, axis=1)[:, len(e) - keep, None]] = -2.0
-                cosine[num[q[at]][:, None] == num[e][None, :]] = -2.0
-                found, which = _best(cosine, np.broadcast_to(num[e], cosine.shape), k)
-                cosines[at], names[at] = _best(np.hstack([cosines[at], found]), np.hstack([names[at], which]), k)
+                    cosine[close < np.partition(close[:, ::SAMPLED], cut, axis=1)[:, cut, None]] = -2.0
+                if len(at):
+                    found, which = _above(cosine, bound, known, k)
+                    cosines[at], names[at] = _best(np.hstack([cosines[at], found]), np.hstack([names[at], which]), k)
         r, c = np.nonzero(cosines > -2.0)
         return pd.DataFrame({"num": num[q][r], "other": names[r, c], "cosine": cosines[r, c]})
 
