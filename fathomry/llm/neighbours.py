@@ -33,6 +33,8 @@ SHELF = 24
 BLOCK = 32_768
 # Cells of one distance matrix.
 CELLS = 2_000_000
+# The sample that bounds a query's k-th best cosine from below: so many vectors, or one in so many where there are fewer.
+SAMPLE, ONE_IN = 2048, 16
 # The pivots whose permutation the footrule distance compares, and the classes of their places.
 RANKED = 64
 CLASSES = 4
@@ -40,12 +42,17 @@ CLASSES = 4
 
 @dataclass(frozen=True)
 class Index:
-    """``pivots``: unit vectors, one a row, those of one shelf next to each other; ``probes``: files each query looks into."""
+    """``pivots``: unit vectors, one a row, those of one shelf next to each other; ``probes``: files each query looks into.
+
+    ``sample``: more of the collection's vectors. A query's k-th best cosine is
+    no less than that among them, which rules most entries out beforehand.
+    """
 
     pivots: np.ndarray
     probes: int
     shelves: np.ndarray
     ranked: np.ndarray
+    sample: np.ndarray
 
 
 def default_pivots(n: int) -> int:
@@ -74,13 +81,16 @@ def shelve(pivots: np.ndarray, most: int = SHELF) -> list[np.ndarray]:
 def fit(vectors: DataFrame, n: int, pivots: int | None = None, probes: int | None = None, seed: int = 5) -> Index:
     """Choose pivots: a random sample without repetition, of at most ``MAX_PIVOTS`` vectors."""
     count = min(pivots or default_pivots(n), MAX_PIVOTS)
-    rows = vectors.orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(count).select("packed").collect()
+    sample = min(SAMPLE, n // ONE_IN)
+    rows = vectors.orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(max(count, sample)).select("packed").collect()
     if not rows:
-        return Index(np.empty((0, 0), np.float32), 0, np.empty(0, np.int32), np.empty((0, 0), np.float32))
-    chosen = unit(np.stack([np.frombuffer(r.packed, np.float32) for r in rows]))
+        nothing = np.empty((0, 0), np.float32)
+        return Index(nothing, 0, np.empty(0, np.int32), nothing, nothing)
+    drawn = unit(np.stack([np.frombuffer(r.packed, np.float32) for r in rows]))
+    chosen = drawn[:count]
     shelves = shelve(chosen)
     at = np.repeat(np.arange(len(shelves), dtype=np.int32), [len(x) for x in shelves])
-    return Index(chosen[np.concatenate(shelves)], probes or default_probes(len(chosen)), at, chosen[:RANKED].T.copy())
+    return Index(chosen[np.concatenate(shelves)], probes or default_probes(len(chosen)), at, chosen[:RANKED].T.copy(), drawn[:sample])
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -129,17 +139,26 @@ def _sizes(index: Index):
     return each
 
 
-POSTED = "shelf int, entry_block int, query_block int, files long, file int, num long, packed binary"
+POSTED = "shelf int, entry_block int, query_block int, files long, file int, num long, least float, packed binary"
+
+
+def _least(index: Index, rows: np.ndarray, k: int) -> np.ndarray:
+    """A bound that each row's k-th best cosine does not fall below; the row itself may be in the sample, so one more is counted."""
+    if len(index.sample) <= 4 * k:
+        return np.full(len(rows), -2.0, np.float32)
+    parts = [np.partition(part @ index.sample.T, len(index.sample) - k - 1, axis=1)[:, len(index.sample) - k - 1] for part in np.array_split(rows, max(1, len(rows) // 1000))]
+    # A little less, as these products may round otherwise than those in the files.
+    return np.concatenate(parts).astype(np.float32) - np.float32(1e-5)
 
 
-def _post(index: Index, entry_blocks: np.ndarray, query_blocks: np.ndarray):
+def _post(index: Index, k: int, entry_blocks: np.ndarray, query_blocks: np.ndarray):
     """Each vector once as an entry of its nearest pivot's file, and once per shelf with files it probes as a query.
 
     An entry meets every block of queries of its shelf, and a query every block
     of entries; both numbers are 1 for all but the largest shelves.
     """
 
-    def copies(shelf: np.ndarray, own: np.ndarray, other: np.ndarray, num: np.ndarray, packed: np.ndarray, files: np.ndarray, file: np.ndarray) -> pd.DataFrame:
+    def copies(shelf: np.ndarray, own: np.ndarray, other: np.ndarray, num: np.ndarray, least: np.ndarray, packed: np.ndarray, files: np.ndarray, file: np.ndarray) -> pd.DataFrame:
         times = other[shelf]
         at = np.repeat(np.arange(len(shelf)), times)
         across = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
@@ -153,6 +172,7 @@ def _post(index: Index, entry_blocks: np.ndarray, query_blocks: np.ndarray):
                 "files": files[at],
                 "file": file[at],
                 "num": num[at],
+                "least": least[at],
                 "packed": packed[at],
             }
         )
@@ -163,12 +183,12 @@ def _post(index: Index, entry_blocks: np.ndarray, query_blocks: np.ndarray):
                 continue
             rows, home, masks = _nearest(index, batch)
             packed = np.array([r.tobytes() for r in rows], dtype=object)
-            num = batch["num"].to_numpy(np.int64)
-            yield copies(index.shelves[home], entry_blocks, query_blocks, num, packed, np.zeros(len(num), np.int64), home.astype(np.int32))
+            num, least = batch["num"].to_numpy(np.int64), _least(index, rows, k)
+            yield copies(index.shelves[home], entry_blocks, query_blocks, num, least, packed, np.zeros(len(num), np.int64), home.astype(np.int32))
             for shelf in range(masks.shape[1]):
                 q = np.flatnonzero(masks[:, shelf])
                 if len(q):
-                    yield copies(np.full(len(q), shelf, np.int32), query_blocks, entry_blocks, num[q], packed[q], masks[q, shelf], np.full(len(q), -1, np.int32))
+                    yield copies(np.full(len(q), shelf, np.int32), query_blocks, entry_blocks, num[q], least[q], packed[q], masks[q, shelf], np.full(len(q), -1, np.int32))
 
     return each
 
@@ -184,16 +204,12 @@ def _best(cosine: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.take_along_axis(cosine, top, axis=1), np.take_along_axis(names, top, axis=1)
 
 
-def _above(cosine: np.ndarray, bound: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``_best``, but only what exceeds each row's bound; rows are filled up with -2."""
-    r, c = np.nonzero(cosine > bound[:, None])
-    counts = np.bincount(r, minlength=len(cosine))
-    width = int(counts.max(initial=0))
-    if width > 8 * k:
-        return _best(cosine, np.broadcast_to(names, cosine.shape), k)
+def _spread(cosine: np.ndarray, name: np.ndarray, r: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values listed by row (``r`` ascending) as a matrix of ``n`` rows, filled up with -2."""
+    counts = np.bincount(r, minlength=n)
     place = np.arange(len(r)) - np.repeat(np.cumsum(counts) - counts, counts)
-    found, which = np.full((len(cosine), width), -2.0, np.float32), np.zeros((len(cosine), width), np.int64)
-    found[r, place], which[r, place] = cosine[r, c], names[c]
+    found, which = np.full((n, int(counts.max(initial=0))), -2.0, np.float32), np.zeros((n, int(counts.max(initial=0))), np.int64)
+    found[r, place], which[r, place] = cosine, name
     return found, which
 
 
@@ -202,6 +218,13 @@ SAMPLED = 4
 
 
 def _search(index: Index, k: int, rerank: float):
+    """Per query, the k best by cosine of each probed file's best share by footrule distance.
+
+    Cosines come first, as one matrix product; distances are then worked out for
+    the entries whose cosine could still matter, which gives the same result as
+    ranking all of them.
+    """
+
     def each(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"num": np.empty(0, np.int64), "other": np.empty(0, np.int64), "cosine": np.empty(0, np.float32)})
         file, num, mask = rows["file"].to_numpy(), rows["num"].to_numpy(np.int64), rows["files"].to_numpy(np.int64)
@@ -211,12 +234,13 @@ def _search(index: Index, k: int, rerank: float):
         whole = np.frombuffer(b"".join(rows["packed"]), np.float32).reshape(len(rows), -1)
         codes = place_classes(whole @ index.ranked)
         q = np.flatnonzero(asked)
-        cosines, names = np.full((len(q), k), -2.0, np.float32), np.zeros((len(q), k), np.int64)
+        cosines = np.repeat(rows["least"].to_numpy(np.float32)[q, None], k, axis=1)
+        names = np.full((len(q), k), -1, np.int64)
         first = np.flatnonzero(index.shelves == index.shelves[file.max()])[0]
         for f in np.unique(file[~asked]):
             e = np.flatnonzero(file == f)
             e = e[np.argsort(num[e], kind="stable")]
-            entries, known = whole[e], num[e]
+            entries, coded, known = whole[e], codes[e], num[e]
             keep = max(8 * k, math.ceil(rerank * len(e)))
             seen = len(e[::SAMPLED])
             cut = max(0, seen - math.ceil(keep * seen / len(e)))
@@ -228,17 +252,17 @@ def _search(index: Index, k: int, rerank: float):
                 own = np.minimum(np.searchsorted(known, num[q[at]]), len(e) - 1)
                 mine = np.flatnonzero(known[own] == num[q[at]])
                 cosine[mine, own[mine]] = -2.0
-                # Rows that nothing here can improve need no ranking.
-                bound = cosines[at].min(axis=1)
-                live = np.flatnonzero(cosine.max(axis=1) > bound)
-                at, cosine, bound = at[live], cosine[live], bound[live]
-                if keep < len(e) and len(at):
-                    close = codes[q[at]] @ codes[e].T
-                    cosine[close < np.partition(close[:, ::SAMPLED], cut, axis=1)[:, cut, None]] = -2.0
-                if len(at):
-                    found, which = _above(cosine, bound, known, k)
-                    cosines[at], names[at] = _best(np.hstack([cosines[at], found]), np.hstack([names[at], which]), k)
-        r, c = np.nonzero(cosines > -2.0)
+                r, c = np.divmod(np.flatnonzero((cosine > cosines[at].min(axis=1)[:, None]).ravel()), len(e))
+                if not len(r):
+                    continue
+                if keep < len(e):
+                    bound = np.partition(codes[q[at]] @ coded[::SAMPLED].T, cut, axis=1)[:, cut]
+                    near = np.concatenate([np.einsum("ij,ij->i", codes[q[at[i]]], coded[j]) for i, j in zip(np.array_split(r, len(r) // 20_000 + 1), np.array_split(c, len(r) // 20_000 + 1))])
+                    good = near >= bound[r]
+                    r, c = r[good], c[good]
+                found, which = _spread(cosine[r, c], known[c], r, len(at))
+                cosines[at], names[at] = _best(np.hstack([cosines[at], found]), np.hstack([names[at], which]), k)
+        r, c = np.nonzero(names >= 0)
         return pd.DataFrame({"num": num[q][r], "other": names[r, c], "cosine": cosines[r, c]})
 
     return each
@@ -249,7 +273,7 @@ def search(vectors: DataFrame, k: int, index: Index, rerank: float) -> DataFrame
     counted = vectors.mapInPandas(_sizes(index), "shelf int, entries long, queries long").groupBy("shelf").agg(F.sum("entries").alias("e"), F.sum("queries").alias("q"))
     sizes = {r.shelf: (r.e, r.q) for r in counted.collect()}
     blocks = [np.array([max(1, math.ceil(sizes.get(s, (0, 0))[i] / BLOCK)) for s in range(int(index.shelves[-1]) + 1)]) for i in (0, 1)]
-    posted = vectors.mapInPandas(_post(index, *blocks), POSTED)
+    posted = vectors.mapInPandas(_post(index, k, *blocks), POSTED)
     found = posted.groupBy("shelf", "entry_block", "query_block").applyInPandas(_search(index, k, rerank), FOUND)
     # A query has at most k rows of each block it met, so its groups are small.
     near = found.groupBy("num").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k).alias("near"))
