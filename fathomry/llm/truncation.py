@@ -27,7 +27,7 @@ CLOSERS = "\"')]}»”’*_`"
 BROKEN = re.compile(r"(?:�+|\\|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&#?[A-Za-z0-9]{1,8}|%[0-9A-Fa-f]?)$")
 LONE_SURROGATE = re.compile("[\ud800-\udfff]$")
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)")
-LIST_ITEM = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+(?=\S)")
+LIST_ITEM = re.compile(r"^\s*([-*+•]|\d+[.)])\s+(?=\S)")
 BARE_MARKER = re.compile(r"^\s*(?:[-*+•>]|\d+[.)]|#{1,6}|={1,6}|\|)\s*$")
 QUOTATION = re.compile(r"^\s*>+ ?")
 LINK = re.compile(r"(?:https?|ftp)://[^\s/]+\.[^\s/]+(?:/\S*)?$|\]\([^()\s]+\)$|\]\]$")
@@ -39,6 +39,7 @@ OPENING = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
 MAX_SIGN_OFF_WORDS = 6
 MAX_FIELD_WORDS = 6
 SHORT_REMARK_WORDS = 6
+SENTENCE_WORDS = 5
 
 
 def open_structures(text: str) -> list[str]:
@@ -69,6 +70,21 @@ def open_structures(text: str) -> list[str]:
     return stack + ['"'] * (quotes % 2)
 
 
+def _is_sentence_item(lines: list[str]) -> bool:
+    """Whether the last line's list has sentences for items, going by the items right before it, or else by its own form."""
+    marker = LIST_ITEM.match(lines[-1]).group(1)
+    before = []
+    for line in reversed(lines[:-1]):
+        m = LIST_ITEM.match(line)
+        if not m or m.group(1)[-1] != marker[-1]:
+            break
+        before.append(bool(TERMINATOR.search(line.rstrip().rstrip(CLOSERS))))
+    if before:
+        return 2 * sum(before) > len(before)
+    words = lines[-1].split()[1:]
+    return words[0][:1].isupper() and len(words) >= SENTENCE_WORDS
+
+
 def ending(text: str | None) -> tuple[str, bool, bool]:
     """``(kind, marked, broken)`` of a text's end.
 
@@ -115,9 +131,7 @@ def ending(text: str | None) -> tuple[str, bool, bool]:
     if re.match(r"^#{1,6} ", line) or QUOTATION.match(line) or line.endswith((",", ";", ":", "-", "–")):
         return "bare", marked, broken
     if LIST_ITEM.match(line):
-        items = [x for x in bare.split("\n")[:-1] if LIST_ITEM.match(x)]
-        sentences = sum(bool(TERMINATOR.search(x.rstrip().rstrip(CLOSERS))) for x in items)
-        return ("bare" if items and 2 * sentences > len(items) else "complete"), marked, broken
+        return ("bare" if _is_sentence_item(bare.split("\n")) else "complete"), marked, broken
     field = FIELD.match(line)
     if field and len(field.group(1)) > 1 and len(field.group(2).split()) <= MAX_FIELD_WORDS:
         return "complete", marked, broken
@@ -181,7 +195,9 @@ def truncated(df: DataFrame, record: str = "doc_id", text: str = "text", source:
     ends = settle(endings(df, record, text, source))
     base = source_baselines(ends).alias("s")
     joined = ends.alias("e").join(base, F.col("e.source").eqNullSafe(F.col("s.source")), "left")
-    at_limit = F.coalesce((F.col("chars") == F.col("char_limit")) | (F.col("bytes").between(F.col("byte_limit") - 2, F.col("byte_limit"))), F.lit(False))
+    # A limit in bytes stops short of a character that would not fit.
+    wide = F.col("bytes").between(F.col("byte_limit") - 2, F.col("byte_limit")) & (F.col("bytes") > F.col("chars"))
+    at_limit = F.coalesce((F.col("chars") == F.col("char_limit")) | (F.col("bytes") == F.col("byte_limit")) | wide, F.lit(False))
     limited = F.col("char_limit").isNotNull() | F.col("byte_limit").isNotNull()
     terse = ~limited & (F.col("n_texts") >= 20) & (F.col("n_bare") > 0.6 * F.col("n_texts"))
     reason = (
