@@ -1,8 +1,8 @@
 """Leaf sequences of marked-up text, and the vectors a block labeller reads.
 
-A leaf is a sentence of a line, or a whole line inside code and tables. It knows
-the path of structures it lies in (code fence, tables, templates, environments,
-open tags) and where in its line and paragraph it stands.
+A leaf is a sentence or a block element of a line, or a whole line inside code
+and tables. It knows the path of structures it lies in (code fence, tables,
+templates, environments, open tags) and where in its line and paragraph it stands.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ VOID = frozenset("area base br col hr img input link meta source track wbr".spli
 SIGNS = r"[<>&*_#`\[\]{}|\\$~=^]|''|(?m)^[^\S\n]*(?:[-+•]|\d{1,3}[.)])\s|(?m)^[^\S\n]*-{3,}[^\S\n]*$"
 _SIGN = re.compile(r"[<>&*_#`\[\]{}|\\$~=^]|''")
 _LINE = re.compile(r"[^\r\n]+")
-_SENTENCE = re.compile(r"(?<=[.!?]) +(?=[A-Z<\[{\\$*_`'\"~!|&(])")
+_SENTENCE = re.compile(
+    r"(?<=[.!?]) +(?=[A-Z<\[{\\$*_`'\"~!|&(])| +(?=<(?:pre|table|div|p|ul|ol|h[1-6]|blockquote)\b)"
+    r"|(?:(?<=</pre>)|(?<=</table>)|(?<=</div>)|(?<=</p>)|(?<=</ul>)|(?<=</ol>)|(?<=-->)|(?<=\\\])|(?<=\$\$)) +"
+)
 _STATE = re.compile(
     r"(?P<fence>^[ \t]*(?:```|~~~))|(?P<table>\{\|)|(?P<endtable>^\s*\|\})|(?P<template>\{\{)|(?P<endtemplate>\}\})"
     r"|\\begin\{(?P<env>[A-Za-z]+\*?)\}|\\end\{(?P<endenv>[A-Za-z]+\*?)\}|(?P<math>\\\[)|(?P<endmath>\\\])|(?P<dollars>\$\$)"
@@ -150,7 +153,8 @@ def _features(text: str, leaf: Leaf, row: int, at: list[int], values: list[float
             around = _side(body[a - 1 : a]) + _side(body[b : b + 1])
             begins = "^" if leaf.first and not body[:a].strip() else ""
             bracket = body[b : b + 1] if key.startswith("\\command") or token in ("]", "!") else ""
-            for k in (key, f"{around[0]}{key}{around[1]}{begins}{bracket}"):
+            tag = ("</tag",) if key[:2] == "</" and key[2:] in TAGS else ("<tag",) if key[:1] == "<" and key[1:] in TAGS else ()
+            for k in (key, f"{around[0]}{key}{around[1]}{begins}{bracket}", *tag):
                 slot, sign = _slot("mark", k)
                 at.append(base + slot)
                 values.append(sign)

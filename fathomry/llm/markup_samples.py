@@ -126,6 +126,25 @@ class Writer:
             ]
         )()
 
+    def marked_phrase(self, name: str) -> str:
+        """A phrase in one of a format's inline forms."""
+        r, w, p, n = self.r, self.name, self.phrase(1, 3), self.number
+        tag = r.choice(["b", "i", "u", "em", "strong", "code", "kbd", "sub", "sup", "span", "small", "tt", "q", "font", "mark", "a"])
+        forms = {
+            "html": [f"<{tag}>{p}</{tag}>", f"<{tag} class=\"{w()}\">{p}</{tag}>", f"{p}&nbsp;{w()}", f"{w()} &amp; {w()}", f"{p}<br>", f"&lt;{w()}&gt;"],
+            "markdown": [f"**{p}**", f"*{p}*", f"_{p}_", f"__{p}__", f"`{p}`", f"~~{p}~~", f"[{p}]({w()}/{w()}.md)", f"{p}[^{n()}]", f"![{p}]({w()}.png)"],
+            "wiki": [f"[[{p}]]", f"[[{w()}|{p}]]", f"''{p}''", f"'''{p}'''", "{{" + f"{w()}|{p}" + "}}"],
+            "latex": [f"\\emph{{{p}}}", f"\\textbf{{{p}}}", f"\\cite{{{w()}}}", f"\\texttt{{{p}}}", f"${self.formula()}$", f"\\({self.formula()}\\)", f"{w()}~\\ref{{{w()}}}", f"\\url{{{w()}}}"],
+        }
+        return r.choice(forms[name])
+
+    def inline(self, name: str, s: Sample) -> None:
+        """A sentence with one marked phrase anywhere in it."""
+        words = self.sentence()[:-1].split()
+        at = self.r.randint(0, len(words))
+        words[at:at] = [self.marked_phrase(name)]
+        s.add(" ".join(words[self.r.randint(0, at) :]) + self.r.choice("...?!") + " ", {name})
+
     # One method per format: adds one construct to the sample, inline (to the running paragraph) or as lines of its own.
 
     def html(self, s: Sample) -> None:
@@ -181,7 +200,7 @@ class Writer:
         choice = r.randrange(17)
         if choice == 0:
             s.add("\n\n")
-            s.add("#" * r.randint(1, 6) + f" {p(1, 5).capitalize()}\n", k, "heading")
+            s.add("#" * r.randint(1, 6) + f" {p(1, 5).capitalize()}" + (" " + self.marked_phrase("markdown") if r.random() < 0.2 else "") + "\n", k, "heading")
             s.add("\n")
         elif choice == 1:
             s.add("\n\n")
@@ -191,7 +210,7 @@ class Writer:
             s.add("\n")
             mark = r.choice(["- ", "- ", "* ", "+ "])
             for _ in range(r.randint(1, 6)):
-                s.add(f"{mark}{p(1, 7)}\n", k, "list")
+                s.add(f"{mark}{p(1, 7)}" + (" " + self.marked_phrase("markdown") if r.random() < 0.15 else "") + "\n", k, "list")
             s.add("\n")
         elif choice == 3:
             s.add("\n")
@@ -346,7 +365,11 @@ class Writer:
             if used and r.random() < 0.6:
                 # Often several in a row, so that a leaf may hold more than one format.
                 for _ in range(r.choice([1, 1, 1, 2, 2, 3])):
-                    getattr(self, r.choice(used))(s)
+                    name = r.choice(used)
+                    if r.random() < 0.25:
+                        self.inline(name, s)
+                    else:
+                        getattr(self, name)(s)
                     if not s.text[-1:].isspace():
                         s.add(" ")
             if r.random() < 0.6:
