@@ -104,7 +104,8 @@ def leaves(text: str) -> list[Leaf]:
         if "fence" in held or "table" in held or line.lstrip().startswith("|"):
             cuts = [0, len(line)]
         else:
-            cuts = [0, *[m.end() for m in _SENTENCE.finditer(line)], len(line)]
+            # Formulas between double dollars are not cut.
+            cuts = [0, *[m.end() for m in _SENTENCE.finditer(line) if line.count("$$", 0, m.start()) % 2 == 0], len(line)]
         for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
             out.append(Leaf(start + a, start + b, held, j == 0, b == len(line), gaps[k] and j == 0, gaps[k + 1] and b == len(line)))
     return out

@@ -75,9 +75,9 @@ def test_kinds(text, kinds):
 
 
 def test_cleaning_keeps_structure():
-    text = "## Set *up*\n\nSee [the page](a.md).\n\n- one `x`\n- two\n\n```py\nx = 1\n\ny = **2\n```\n\n<p>A &lt; B</p>\n\n$$ a^2 $$\n\nThe [[Topic|thing]] is \\textbf{big}."
+    text = "## Set *up*\n\nSee [the page](a.md).\n\n- one `x`\n- two\n\n```py\nx = 1\n\ny = **2\n```\n\n<p>A &lt; B</p>\n\n$$ \\frac{a}{b} $$\n\nThe [[Topic|thing]] is \\textbf{big}."
     _, (cleaned, blocks) = read(text)
-    assert cleaned == "Set up\n\nSee the page.\n\n- one x\n- two\n\nx = 1\n\ny = **2\n\nA < B\n\n$$ a^2 $$\n\nThe thing is big."
+    assert cleaned == "Set up\n\nSee the page.\n\n- one x\n- two\n\nx = 1\n\ny = **2\n\nA < B\n\n$$ \\frac{a}{b} $$\n\nThe thing is big."
     kinds = [k for k, _ in blocks]
     assert kinds[0] == "heading" and "list" in kinds and "code" in kinds and "formula" in kinds
     plain = "Nothing here.\r\n\r\nAt all,\u2003really - a < b."
