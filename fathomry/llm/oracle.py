@@ -60,3 +60,18 @@ i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUV
 g AS (SELECT item_id, ' ' || array_to_string(w[s : s + 11], ' ') || ' ' AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM d JOIN g ON contains(d.t, g.p)
 """
+
+P3_FOUND = """
+WITH v AS (SELECT chunk_id, arg_min(vector, arrived_at)::DOUBLE[] AS e FROM chunk_vectors WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+ok AS (SELECT * FROM v WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM ok a JOIN ok b ON a.chunk_id <> b.chunk_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM t WHERE k <= 10 AND c >= 0.9
+"""
+
+# Any tokenizer gives the same list; this one counts words, numbers and signs.
+P9_FOUND = """
+WITH d AS (SELECT source, coalesce(sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^\\sA-Za-z0-9]'))), 0) AS n FROM documents GROUP BY source),
+w AS (SELECT sum(n) AS total FROM d)
+SELECT t.source FROM source_targets t LEFT JOIN d USING (source) CROSS JOIN w WHERE coalesce(n, 0) * max_repeats < target_share * total
+"""

@@ -50,7 +50,7 @@ def neighbours_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most_similar(table(spark, sf_dir, "chunk_vectors").select("chunk_id", "vector", "arrived_at"))
 
 
-@registry.query("p3_found")
+@registry.query("p3_found", oracle.P3_FOUND)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     close = neighbours_of_all(spark, sf_dir).where(F.col("cosine") >= 0.90)
     return close.select(F.least("item", "other").alias("chunk_a"), F.greatest("item", "other").alias("chunk_b")).distinct()
@@ -140,7 +140,7 @@ def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(with_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
 
 
-@registry.query("p9_found")
+@registry.query("p9_found", oracle.P9_FOUND)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that the mix itself leaves short although every document is used as often as allowed."""
     sized = sized_documents(spark, sf_dir)
