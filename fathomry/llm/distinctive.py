@@ -70,7 +70,8 @@ def distinctive_terms(
         .agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
         .where(F.col("tf") >= min_tf)
     )
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int"))
+    # Hashing the count too keeps the optimiser from pushing a null check on the salt below the shuffle that both branches share.
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("record", "tf"), F.lit(SALTS)).cast("int"))
     spread = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = salted.join(spread, ["term", "salt"])
     idf = inverse_document_frequency(n, F.col("df"))
