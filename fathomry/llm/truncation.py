@@ -5,7 +5,8 @@ A stack automaton reads each text and says how it ends: what is still open
 for its kind (list item, table row, link, keyword, status or signature line),
 whether the last sentence is, and whether bytes or escapes are broken. Baselines
 per source say which lengths are a field's limit and whether texts of the source
-usually end with a terminator at all; both together decide.
+are usually left without a terminator, as judged by ends that no cut would leave;
+both together decide.
 """
 
 from __future__ import annotations
@@ -40,6 +41,19 @@ MAX_SIGN_OFF_WORDS = 6
 MAX_FIELD_WORDS = 6
 SHORT_REMARK_WORDS = 6
 SENTENCE_WORDS = 5
+# Words that need another one after them, in the languages found. Words that may end a note ("log in", "shut down") are left out.
+FUNCTION_WORDS = frozenset(
+    "a an the of and or but nor if than because whether while although unless since from with to into onto at by for as is are was were be been has have had its their our your my his "
+    "which whose that when where who not no every each both between during without "
+    "der die das den dem des ein eine einen einem einer und oder aber weil dass ob wenn von vom zum zur im am für mit bei nach ist sind war waren wird wurde wurden muss hat haben sein seine ihr ihre nicht "
+    "le la les l d un une du de et ou mais que qui si dans sur pour avec par au aux est sont a été était doit son sa ses leur ce cette ces ne pas "
+    "el los las unos unas y o pero porque con por para en al es son fue fueron su sus del se hay ha han "
+    "il lo gli uno e ma che di da nel della".split()
+)
+DANGLING = (",", ";", ":", "-", "–", "—", "(", "[", "/", "&", "+", "=")
+LAST_WORD = re.compile(r"[^\W\d_][^\W_]*$")
+# Of cuts of prose, wherever they fall, at least this share ends inside a word, after a function word or after a comma: random ones in two of three cases inside a word.
+SHOWN = 1 / 3
 
 
 def open_structures(text: str) -> list[str]:
@@ -140,7 +154,15 @@ def ending(text: str | None) -> tuple[str, bool, bool]:
     return "bare", marked, broken
 
 
-ENDINGS = "record long, source string, kind string, marked boolean, broken boolean, sentence boolean, chars int, bytes int"
+ENDINGS = "record long, source string, kind string, marked boolean, broken boolean, sentence boolean, chars int, bytes int, dangling boolean, last string"
+
+
+def dangling(text: str) -> tuple[bool, str | None]:
+    """Whether a bare end asks for another word, and the last word in lower case if the text ends with its last letter."""
+    body = text.rstrip()
+    word = LAST_WORD.search(body[-200:])
+    last = word.group().lower() if word else None
+    return body.endswith(DANGLING) or last in FUNCTION_WORDS, last
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +172,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kind, marked, broken = ending(text)
             body = (text or "").rstrip()
             sentence = bool(TERMINATOR.search(body.rstrip(CLOSERS)))
-            rows.append((record, source, kind, marked, broken, sentence, len(text or ""), len((text or "").encode("utf-8", "surrogatepass"))))
+            hangs, last = dangling(text) if kind == "bare" and not marked else (False, None)
+            rows.append((record, source, kind, marked, broken, sentence, len(text or ""), len((text or "").encode("utf-8", "surrogatepass")), hangs, last))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENDINGS.split(", ")])
 
 
@@ -161,11 +184,10 @@ def endings(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
 
 
 def source_baselines(ends: DataFrame, least: int = 3, share: float = 0.02) -> DataFrame:
-    """Per source: ``char_limit, byte_limit`` (null where there is none) and ``terse``.
+    """Per source: ``char_limit, byte_limit`` (null where there is none).
 
     A limit is the greatest length found, if at least ``least`` texts and
-    ``share`` of the source's texts have exactly that length and most of these do not end a sentence. A source is
-    terse if most of its texts below any limit end without a terminator in plain prose.
+    ``share`` of the source's texts have exactly that length and most of these do not end a sentence.
     """
     def limit(length: str) -> DataFrame:
         counts = ends.groupBy("source", F.col(length).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("sentence")).alias("cut"))
@@ -173,12 +195,46 @@ def source_baselines(ends: DataFrame, least: int = 3, share: float = 0.02) -> Da
         real = (F.col("top.n") >= least) & (F.col("top.n") >= share * F.col("all")) & (2 * F.col("top.cut") > F.col("top.n"))
         return facts.select("source", F.when(real, F.col("top.size")).alias(f"{length}_limit"))
 
-    plain = ends.groupBy("source").agg(F.count_if(F.col("kind") == "bare").alias("bare"), F.count_if(F.col("kind") != "empty").alias("all"))
     chars, octets = limit("chars").alias("c"), limit("bytes").alias("b")
-    both = chars.join(octets, F.col("c.source").eqNullSafe(F.col("b.source"))).select(F.col("c.source").alias("source"), F.col("chars_limit").alias("char_limit"), F.col("bytes_limit").alias("byte_limit"))
-    return both.alias("l").join(plain.alias("p"), F.col("l.source").eqNullSafe(F.col("p.source"))).select(
-        F.col("l.source").alias("source"), "char_limit", "byte_limit", F.col("bare").alias("n_bare"), F.col("all").alias("n_texts")
-    )
+    both = chars.join(octets, F.col("c.source").eqNullSafe(F.col("b.source")))
+    return both.select(F.col("c.source").alias("source"), F.col("chars_limit").alias("char_limit"), F.col("bytes_limit").alias("byte_limit"))
+
+
+def at_limits(ends: DataFrame) -> DataFrame:
+    """``ends`` with ``at_limit``: whether a text is as long as its source allows."""
+    base = source_baselines(ends).alias("s")
+    joined = ends.alias("e").join(base, F.col("e.source").eqNullSafe(F.col("s.source")), "left")
+    # A limit in bytes stops short of a character that would not fit.
+    wide = F.col("bytes").between(F.col("byte_limit") - 2, F.col("byte_limit")) & (F.col("bytes") > F.col("chars"))
+    at_limit = F.coalesce((F.col("chars") == F.col("char_limit")) | (F.col("bytes") == F.col("byte_limit")) | wide, F.lit(False))
+    return joined.select("e.*", at_limit.alias("at_limit"))
+
+
+def word_parts(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """``last``: the last words of ``ends`` that no text of ``texts`` has inside, while a longer word inside a text begins with them."""
+    # Marks of omission go first: the word before them may be cut itself.
+    body = F.regexp_replace(F.regexp_replace("text", r"\s+$", ""), "(?i)(?:" + CUT_MARK.pattern + "|" + ELLIPSIS.pattern + ")", "")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"(\p{L}[\p{L}\p{N}]*)(?=[^\p{L}\p{N}])"), F.lit(1)))
+    inside = settle(texts.select(F.explode(words).alias("word")).distinct())
+    asked = ends.where(F.col("last").isNotNull()).select("last").distinct()
+    unknown = asked.join(inside, F.col("last") == F.col("word"), "left_anti")
+    begins = inside.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring("word", F.lit(1), n))).alias("begin")).distinct()
+    return unknown.join(begins, F.col("last") == F.col("begin"), "left_semi")
+
+
+def terse_sources(ends: DataFrame, most: float = 0.6) -> DataFrame:
+    """Sources (``source``) that leave more than ``most`` of their texts without a terminator, cuts apart.
+
+    Of texts below the limit with no other sign of a cut, bare ends at a whole
+    word that asks for no other are the habit's. But cuts leave such ends too:
+    they are taken to be as many as the ends that only a cut leaves
+    (``dangling``) allow at most, going by ``SHOWN`` and two standard errors.
+    So a few texts are no evidence of a habit, and a source of cuts has none.
+    """
+    below = ends.where(~F.col("at_limit") & ~F.col("broken") & ~F.col("marked") & F.col("kind").isin("bare", "complete", "remark"))
+    facts = below.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "bare").alias("bare"), F.count_if("dangling").alias("shown"))
+    cuts = F.least(F.col("bare").cast("double"), (F.col("shown") + 2 + 2 * F.sqrt(F.col("shown") + F.lit(1.0))) / SHOWN)
+    return facts.where(F.col("bare") - cuts > most * (F.col("n") - cuts)).select("source")
 
 
 def truncated(df: DataFrame, record: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -190,25 +246,30 @@ def truncated(df: DataFrame, record: str = "doc_id", text: str = "text", source:
     source allows and ends no sentence). Null, empty and blank texts are not
     truncated; a null source is a source of its own; rows with a null id are
     ignored, and repeated rows are judged one by one. In a source whose texts
-    below its limit mostly end without terminators, a bare end says nothing.
+    below its limit mostly end without terminators (``terse_sources``), a bare end below the
+    limit says nothing unless it is inside a word, at a function word or at a comma.
     """
-    ends = settle(endings(df, record, text, source))
-    base = source_baselines(ends).alias("s")
-    joined = ends.alias("e").join(base, F.col("e.source").eqNullSafe(F.col("s.source")), "left")
-    # A limit in bytes stops short of a character that would not fit.
-    wide = F.col("bytes").between(F.col("byte_limit") - 2, F.col("byte_limit")) & (F.col("bytes") > F.col("chars"))
-    at_limit = F.coalesce((F.col("chars") == F.col("char_limit")) | (F.col("bytes") == F.col("byte_limit")) | wide, F.lit(False))
-    limited = F.col("char_limit").isNotNull() | F.col("byte_limit").isNotNull()
-    terse = ~limited & (F.col("n_texts") >= 20) & (F.col("n_bare") > 0.6 * F.col("n_texts"))
+    ends = at_limits(settle(endings(df, record, text, source)))
+    # Parts of words only make a source less terse: they are looked up where it could be.
+    could = terse_sources(ends)
+    if could.isEmpty():
+        judged = ends.withColumn("terse", F.lit(False))
+    else:
+        same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+        asked = ends.alias("e").join(could.alias("t"), same("e", "t"), "left_semi")
+        parts = word_parts(asked, df.where(F.col(record).isNotNull()).select(F.col(text).alias("text"))).withColumn("part", F.lit(True))
+        marked = settle(ends.join(parts, "last", "left").withColumn("dangling", F.col("dangling") | F.coalesce("part", F.lit(False))))
+        terse = terse_sources(marked).withColumn("terse", F.lit(True))
+        judged = marked.alias("e").join(terse.alias("t"), same("e", "t"), "left").select("e.*", F.coalesce("terse", F.lit(False)).alias("terse"))
     reason = (
         F.when(F.col("kind") == "empty", None)
         .when(F.col("broken"), "broken")
         .when(F.col("kind") == "open", "open")
         .when(F.col("marked") & (F.col("kind") == "bare"), "mark")
-        .when((F.col("kind") == "bare") & ~terse, "bare")
-        .when(F.col("kind").isin("complete", "remark") & at_limit & ~F.col("sentence"), "limit")
+        .when((F.col("kind") == "bare") & (~F.col("terse") | F.col("dangling") | F.col("at_limit")), "bare")
+        .when(F.col("kind").isin("complete", "remark") & F.col("at_limit") & ~F.col("sentence"), "limit")
     )
-    return joined.select("record", F.col("e.source").alias("source"), reason.isNotNull().alias("truncated"), reason.alias("reason"), at_limit.alias("at_limit"))
+    return judged.select("record", "source", reason.isNotNull().alias("truncated"), reason.alias("reason"), "at_limit")
 
 
 def truncation_report(judged: DataFrame) -> DataFrame:

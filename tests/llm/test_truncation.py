@@ -59,3 +59,36 @@ def test_limits_by_source(spark):
 def test_terse_sources(spark):
     rows = [(i, f"note number {i} of the log {'x' * i}", "terse") for i in range(40)] + [(99, "(open", "terse")]
     assert [r.record for r in truncated(frame(spark, rows)).where("truncated").collect()] == [99]
+
+
+NOUNS = "reader writer bucket segment ledger queue harness filename dashboard archive boundary document snapshot incident".split()
+
+
+def prose(i):
+    a, b, c, d = (NOUNS[(i * k + k) % len(NOUNS)] for k in (1, 3, 5, 9))
+    return f"The {a} grew after the {b} was measured again. Ask the {c} team before you move a {d}, because the {a} holds it. "
+
+
+def test_sources_of_cuts_are_not_terse(spark):
+    """Cuts of many lengths, more of them than of whole texts, at any number of texts."""
+    for total in (10, 19, 20, 100):
+        cut = [(i, (prose(i) + prose(i + 5))[: 90 + (i * 37) % 110].rstrip(), "b") for i in range(total * 7 // 10)]
+        cut = [(i, t if ending(t)[0] != "complete" else t[:-3], s) for i, t, s in cut]
+        rows = cut + [(1000 + i, prose(i).strip(), "b") for i in range(total - len(cut))]
+        assert sorted(r.record for r in truncated(frame(spark, rows)).where("truncated").collect()) == [i for i, _, _ in cut]
+
+
+def test_cuts_at_a_limit_below_an_outlier(spark):
+    cut = [(i, (prose(i) + prose(i + 3))[:120].rstrip(" ."), "o") for i in range(30)]
+    rows = cut + [(100 + i, prose(i).strip(), "o") for i in range(8)] + [(200, (prose(1) * 5).strip(), "o")]
+    assert sorted(r.record for r in truncated(frame(spark, rows)).where("truncated").collect()) == list(range(30))
+
+
+def test_cuts_in_terse_sources(spark):
+    """Notes without terminators are whole, but not those that end in a word, at a function word or at a comma."""
+    notes = [(i, f"moved the {NOUNS[i % 14]} {7 ** (i % 19)} times to the {NOUNS[(i * 3 + 1) % 14]}", "n") for i in range(60)]
+    cut = [(100, "moved the dashboard to the arch", "n"), (101, "moved the dashboard to the", "n"), (102, "moved the dashboard,", "n")]
+    whole = [(103, "moved it to dashboard archive", "n"), (104, "deployed v7 again", "n")]
+    kept = [(200, "brought it back from the archive of the old harness to the reader", "n")]
+    got = {r.record: r.reason for r in truncated(frame(spark, notes + cut + whole + kept)).where("truncated").collect()}
+    assert got == {100: "bare", 101: "bare", 102: "bare"}
