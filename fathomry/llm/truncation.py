@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomry.session import settle
@@ -54,6 +55,8 @@ DANGLING = (",", ";", ":", "-", "–", "—", "(", "[", "/", "&", "+", "=")
 LAST_WORD = re.compile(r"[^\W\d_][^\W_]*$")
 # Of cuts of prose, wherever they fall, at least this share ends inside a word, after a function word or after a comma: random ones in two of three cases inside a word.
 SHOWN = 1 / 3
+# About the longest word with its blank: so far below its limit a text may end that was cut between words.
+BAND = 12
 
 
 def open_structures(text: str) -> list[str]:
@@ -158,7 +161,7 @@ ENDINGS = "record long, source string, kind string, marked boolean, broken boole
 
 
 def dangling(text: str) -> tuple[bool, str | None]:
-    """Whether a bare end asks for another word, and the last word in lower case if the text ends with its last letter."""
+    """Whether an end asks for another word, and the last word in lower case if the text ends with its last letter."""
     body = text.rstrip()
     word = LAST_WORD.search(body[-200:])
     last = word.group().lower() if word else None
@@ -172,7 +175,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kind, marked, broken = ending(text)
             body = (text or "").rstrip()
             sentence = bool(TERMINATOR.search(body.rstrip(CLOSERS)))
-            hangs, last = dangling(text) if kind == "bare" and not marked else (False, None)
+            hangs, last = dangling(text) if kind == "bare" and not marked else (kind in ("complete", "remark") and not marked and text.split()[-1].lower() in FUNCTION_WORDS, None)
             rows.append((record, source, kind, marked, broken, sentence, len(text or ""), len((text or "").encode("utf-8", "surrogatepass")), hangs, last))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENDINGS.split(", ")])
 
@@ -200,14 +203,42 @@ def source_baselines(ends: DataFrame, least: int = 3, share: float = 0.02) -> Da
     return both.select(F.col("c.source").alias("source"), F.col("chars_limit").alias("char_limit"), F.col("bytes_limit").alias("byte_limit"))
 
 
+def limit_bands(ends: DataFrame, length: str, least: int = 3, share: float = 0.02) -> DataFrame:
+    """Per source: ``bands``, the ranges (``low``, ``high``) of lengths right below a limit, anywhere among its lengths.
+
+    A band is one word wide. In it at least ``least`` texts and ``share`` of the source's texts end
+    no sentence, which are most of its texts and more than twice as many as in the two bands on either side
+    together; and a fifth of them show a cut (something open or broken, a function word, a comma), so
+    that notes or repeated texts of much the same length make no limit.
+    """
+    shows = F.col("broken") | F.col("dangling") | (F.col("kind") == "open")
+    counts = ends.where(F.col("kind") != "empty").groupBy("source", F.col(length).alias("high")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("sentence")).alias("cut"), F.count_if(~F.col("sentence") & shows).alias("shown")
+    )
+    order = W.partitionBy("source").orderBy("high")
+    within = lambda c, a, b: F.coalesce(F.sum(c).over(order.rangeBetween(a, b)), F.lit(0))
+    facts = counts.select(
+        "source", "high", F.col("cut").alias("here"), within("n", 1 - BAND, 0).alias("n"), within("cut", 1 - BAND, 0).alias("cut"), within("shown", 1 - BAND, 0).alias("shown"),
+        (within("cut", 1 - 3 * BAND, -BAND) + within("cut", 1, 2 * BAND)).alias("beside"), F.sum("n").over(W.partitionBy("source")).alias("all"),
+    )
+    real = (F.col("here") > 0) & (F.col("cut") >= least) & (F.col("cut") >= share * F.col("all")) & (2 * F.col("cut") > F.col("n")) & (F.col("cut") > 2 * F.col("beside")) & (5 * F.col("shown") >= F.col("cut"))
+    return facts.where(real).groupBy("source").agg(F.collect_list(F.struct((F.col("high") - BAND + 1).alias("low"), "high")).alias("bands"))
+
+
 def at_limits(ends: DataFrame) -> DataFrame:
-    """``ends`` with ``at_limit``: whether a text is as long as its source allows."""
-    base = source_baselines(ends).alias("s")
+    """``ends`` with ``exact``, whether a text is as long as its source allows, and ``at_limit``, whether it is that or at most a word shorter."""
+    base = source_baselines(ends)
+    for length in ("chars", "bytes"):
+        bands = limit_bands(ends, length).select(F.col("source").alias("__source"), F.col("bands").alias(f"{length}_bands"))
+        base = base.join(bands, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    base = base.alias("s")
     joined = ends.alias("e").join(base, F.col("e.source").eqNullSafe(F.col("s.source")), "left")
     # A limit in bytes stops short of a character that would not fit.
     wide = F.col("bytes").between(F.col("byte_limit") - 2, F.col("byte_limit")) & (F.col("bytes") > F.col("chars"))
-    at_limit = F.coalesce((F.col("chars") == F.col("char_limit")) | (F.col("bytes") == F.col("byte_limit")) | wide, F.lit(False))
-    return joined.select("e.*", at_limit.alias("at_limit"))
+    exact = F.coalesce((F.col("chars") == F.col("char_limit")) | (F.col("bytes") == F.col("byte_limit")) | wide, F.lit(False))
+    inside = lambda length: F.exists(f"{length}_bands", lambda band: F.col(length).between(band["low"], band["high"]))
+    at_limit = exact | F.coalesce(inside("chars"), F.lit(False)) | F.coalesce(inside("bytes"), F.lit(False))
+    return joined.select("e.*", exact.alias("exact"), at_limit.alias("at_limit"))
 
 
 def word_parts(ends: DataFrame, texts: DataFrame) -> DataFrame:
@@ -232,7 +263,7 @@ def terse_sources(ends: DataFrame, most: float = 0.6) -> DataFrame:
     So a few texts are no evidence of a habit, and a source of cuts has none.
     """
     below = ends.where(~F.col("at_limit") & ~F.col("broken") & ~F.col("marked") & F.col("kind").isin("bare", "complete", "remark"))
-    facts = below.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "bare").alias("bare"), F.count_if("dangling").alias("shown"))
+    facts = below.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "bare").alias("bare"), F.count_if((F.col("kind") == "bare") & F.col("dangling")).alias("shown"))
     cuts = F.least(F.col("bare").cast("double"), (F.col("shown") + 2 + 2 * F.sqrt(F.col("shown") + F.lit(1.0))) / SHOWN)
     return facts.where(F.col("bare") - cuts > most * (F.col("n") - cuts)).select("source")
 
@@ -243,7 +274,7 @@ def truncated(df: DataFrame, record: str = "doc_id", text: str = "text", source:
     ``reason``: ``broken`` character or escape, ``open`` structure, omission
     ``mark`` after an unfinished sentence, ``bare`` end of prose, or ``limit``
     (a line that could be complete, but the text is exactly as long as its
-    source allows and ends no sentence). Null, empty and blank texts are not
+    source allows and ends no sentence, or at most a word shorter and ends at a function word). Null, empty and blank texts are not
     truncated; a null source is a source of its own; rows with a null id are
     ignored, and repeated rows are judged one by one. In a source whose texts
     below its limit mostly end without terminators (``terse_sources``), a bare end below the
@@ -267,7 +298,7 @@ def truncated(df: DataFrame, record: str = "doc_id", text: str = "text", source:
         .when(F.col("kind") == "open", "open")
         .when(F.col("marked") & (F.col("kind") == "bare"), "mark")
         .when((F.col("kind") == "bare") & (~F.col("terse") | F.col("dangling") | F.col("at_limit")), "bare")
-        .when(F.col("kind").isin("complete", "remark") & F.col("at_limit") & ~F.col("sentence"), "limit")
+        .when(F.col("kind").isin("complete", "remark") & (F.col("exact") | F.col("at_limit") & F.col("dangling")) & ~F.col("sentence"), "limit")
     )
     return judged.select("record", "source", reason.isNotNull().alias("truncated"), reason.alias("reason"), "at_limit")
 

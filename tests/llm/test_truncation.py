@@ -92,3 +92,17 @@ def test_cuts_in_terse_sources(spark):
     kept = [(200, "brought it back from the archive of the old harness to the reader", "n")]
     got = {r.record: r.reason for r in truncated(frame(spark, notes + cut + whole + kept)).where("truncated").collect()}
     assert got == {100: "bare", 101: "bare", 102: "bare"}
+
+
+def test_limits_between_words_and_below_longer_texts(spark):
+    """A limit kept by whole words, and one that later texts exceed, hold for ends that look complete too."""
+    def words(i, most):
+        kept = (prose(i) + prose(i + 3) + prose(i + 5))[: most + 1].rsplit(" ", 1)[0]
+        return kept if ending(kept)[0] != "complete" else kept.rstrip(".") + " of"
+
+    listed = lambda most: "y" * (most - 22) + ".\n\nThanks, all of the"
+    for most, name in ((160, "v"),):
+        cut = [(i, words(i, most), name) for i in range(40)] + [(90, listed(most - 3), name)]
+        whole = [(100 + i, prose(i).strip() + " It is so." * (i % 30), name) for i in range(60)] + [(200, listed(most - 60), name), (201, (prose(2) * 9).strip(), name)]
+        got = {r.record: (r.reason, r.at_limit) for r in truncated(frame(spark, cut + whole)).where("truncated").collect()}
+        assert sorted(got) == [r[0] for r in cut] and got[90] == ("limit", True)
