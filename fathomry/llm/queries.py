@@ -142,7 +142,7 @@ def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("p9_found", oracle.P9_FOUND)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that the mix itself leaves short although every document is used as often as allowed."""
+    """Sources whose tokens, used as often as allowed, are less than their share: arithmetic on the plan (``Share.reachable``), not read from the mix."""
     sized = sized_documents(spark, sf_dir)
     shares = plan_shares(sized, table(spark, sf_dir, "source_targets"))
     return mix_report(mix(sized, shares), shares).where(~F.col("reachable")).select("source")
