@@ -46,7 +46,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self.corpus = Corpus(spark, root)
-        self.feedback = VersionedTable(spark, f"{root}/feedback", FEEDBACK)
+        self.feedback = VersionedTable(spark, f"{root}/feedback", FEEDBACK, "id")
 
     def evidence(self) -> DataFrame:
         return jsonl.read_log(self.spark, f"{self.root}/evidence", EVIDENCE)
@@ -129,7 +129,7 @@ def cmd_feedback(store: Store, args: argparse.Namespace) -> int:
         raise ValueError("nothing is rated")
     rows = [(new_id("fb", i), args.query, run, c, rating, args.note, now()) for i, (c, rating) in enumerate(rated)]
     inputs = store.spark.createDataFrame(rows, "id string, query_id string, retrieval_run_id string, chunk_id string, rating string, note string, created_at string")
-    store.feedback.insert_new(feedback.record_feedback(inputs, evidence, store.feedback.read()), "id")
+    store.feedback.insert_new(feedback.record_feedback(inputs, evidence, store.feedback.read()))
     print(f"{len(rows)} recorded for {run}")
     return 0
 

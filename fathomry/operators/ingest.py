@@ -11,7 +11,7 @@ from fathomry.functions.paths import under
 from fathomry.functions.vectors import mock_embedding
 from fathomry.operators.chunking import ChunkingConfig, chunk_documents
 from fathomry.session import settle
-from fathomry.sources.store import VersionedTable
+from fathomry.sources.store import VersionedTable, check_dimension
 
 DOCUMENTS = (
     "id string, source_path string, file_name string, file_extension string, content_hash string, title string, project string, tags array<string>, "
@@ -70,9 +70,9 @@ class Corpus:
     def __init__(self, spark: SparkSession, root: str, config: ChunkingConfig = ChunkingConfig(), model: str = "mock", dimension: int = 32, embed: Callable[[Column], Column] | None = None):
         self.spark, self.config, self.model, self.dimension = spark, config, model, dimension
         self.embed = embed or (lambda text: mock_embedding(text, dimension))
-        self.documents = VersionedTable(spark, f"{root}/documents", DOCUMENTS)
-        self.chunks = VersionedTable(spark, f"{root}/chunks", CHUNKS)
-        self.vectors = VersionedTable(spark, f"{root}/vectors", VECTORS)
+        self.documents = VersionedTable(spark, f"{root}/documents", DOCUMENTS, "source_path")
+        self.chunks = VersionedTable(spark, f"{root}/chunks", CHUNKS, "document_id")
+        self.vectors = VersionedTable(spark, f"{root}/vectors", VECTORS, "document_id")
 
     def ingest(self, parsed: DataFrame, now: str, root: str | None = None, project: str | None = None, tags: tuple[str, ...] = (), force: bool = False, dry_run: bool = False) -> DataFrame:
         """Ingest parsed files (see ``parse_files``); returns the summary.
@@ -109,8 +109,9 @@ class Corpus:
         about = touched.select("document_id", "source_path", "title")
         enriched = pieces.join(about, "document_id").withColumn("metadata", chunk_metadata(self.model, self.dimension)).drop("title")
         dropped = touched.select("document_id").unionByName(gone.select(F.col("id").alias("document_id")))
-        self.vectors.replace_group(enriched.select("chunk_id", "document_id", self.embed(F.col("content")).alias("vector")), "document_id", dropped)
-        self.chunks.replace_group(enriched, "document_id", dropped)
+        embedded = enriched.select("chunk_id", "document_id", self.embed(F.col("content")).alias("vector"))
+        self.vectors.replace(check_dimension(embedded, "vector", self.dimension), dropped)
+        self.chunks.replace(enriched, dropped)
         # The document table goes last: an ingestion that dies before it is done again.
-        self.documents.upsert(records.unionByName(marked.select(*records.columns)), "source_path")
+        self.documents.upsert(records.unionByName(marked.select(*records.columns)))
         return report

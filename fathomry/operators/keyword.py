@@ -1,25 +1,27 @@
-"""Keyword search: postings, corpus statistics and BM25 for batches of queries."""
+"""Keyword search: corpus statistics and BM25 for batches of queries."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from fathomry.functions.scoring import idf, term_score
-from fathomry.functions.text import terms
-
+from fathomry.functions.scoring import B, K1, idf
+from fathomry.functions.text import LOWER, UPPER, terms
+from fathomry.operators.topk import CELLS, Best, in_batches
 
-def postings(records: DataFrame, record: str, text: str) -> DataFrame:
-    """``record, term, tf, length``: one row per record and distinct term.
-
-    ``records`` has one row per record. Null and term-less texts give no
-    postings. Counting is local to each record, so the partial aggregation
-    merges a record's terms before anything is shuffled.
-    """
-    split = records.where(F.col(record).isNotNull()).select(F.col(record).alias("record"), terms(F.col(text)).alias("all"))
-    exploded = split.select("record", F.size("all").alias("length"), F.explode("all").alias("term"))
-    return exploded.groupBy("record", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+_TERM = re.compile("[a-z0-9]+")
+_FOLD = str.maketrans(UPPER, LOWER)
+# Records scored at a time, and queries: a block's weights are terms by queries.
+RECORDS, QUERIES = 1024, 256
 
 
 def corpus_stats(records: DataFrame, record: str, text: str) -> DataFrame:
@@ -28,9 +30,12 @@ def corpus_stats(records: DataFrame, record: str, text: str) -> DataFrame:
     return records.where(F.col(record).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(length), F.lit(0.0)).alias("average"))
 
 
-def term_stats(posted: DataFrame) -> DataFrame:
-    """``term, df``: in how many records each term occurs."""
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_stats(records: DataFrame, record: str, text: str) -> DataFrame:
+    """``term, df, occurrences``: in how many records each term occurs, and how often; one count, merged where records are read."""
+    named = records.where(F.col(record).isNotNull()).select(terms(F.col(text)).alias("all"))
+    marked = lambda values, flag: F.transform(values, lambda t: F.struct(t.alias("term"), F.lit(flag).alias("once")))
+    both = named.select(F.explode(F.concat(marked(F.col("all"), 0), marked(F.array_distinct("all"), 1))).alias("x"))
+    return both.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.once").alias("df"), F.count_if(F.col("x.once") == 0).alias("occurrences"))
 
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -38,42 +43,103 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
     return queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
 
 
-def bm25(queries: DataFrame, records: DataFrame, record: str, text: str) -> DataFrame:
-    """``query_id, record, raw_score`` for every record that holds a term of the query.
-
-    Statistics cover all records. Only postings of asked terms go further than
-    the scan: a semi-join on the queries' terms, which Spark broadcasts when they
-    are small, precedes every count, as a term's df needs only its own postings.
-    """
-    asked = query_terms(queries)
+def asked_weights(asked: DataFrame, records: DataFrame, record: str, text: str) -> tuple[pd.DataFrame, float]:
+    """``query_id, term, idf`` of the asked terms that occur, and the records' average length."""
     wanted = asked.select("term").distinct()
-    split = records.where(F.col(record).isNotNull()).select(F.col(record).alias("record"), terms(F.col(text)).alias("all"))
-    exploded = split.select("record", F.size("all").alias("length"), F.explode("all").alias("term"))
-    posted = exploded.join(wanted, "term", "left_semi").groupBy("record", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(records, record, text)
-    n, average = stats.select("n").scalar(), stats.select("average").scalar()
-    weights = asked.join(term_stats(posted), "term").select("query_id", "term", idf(n, F.col("df")).alias("idf"))
-    hits = posted.join(weights, "term")
-    return hits.groupBy("query_id", "record").agg(F.sum(term_score(F.col("tf"), F.col("length"), average, F.col("idf"))).alias("raw_score"))
+    distinct = records.where(F.col(record).isNotNull()).select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    counted = distinct.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = corpus_stats(records, record, text).first()
+    weighed = asked.join(counted, "term").select("query_id", "term", idf(F.lit(stats.n), F.col("df")).alias("idf"))
+    return pd.DataFrame(weighed.collect(), columns=["query_id", "term", "idf"]), float(stats.average)
+
+
+class _Scorer:
+    """BM25 of a part of the queries for the records of a task."""
+
+    def __init__(self, weights: pd.DataFrame, average: float, depths: dict):
+        self.queries = np.array(sorted(set(weights["query_id"])), dtype=object)
+        self.depths = np.array([max(1, depths[q]) for q in self.queries], np.int64)
+        self.average = average or 1.0
+        self.places = {t: i for i, t in enumerate(sorted(set(weights["term"])))}
+        at = {q: i for i, q in enumerate(self.queries)}
+        weights = pd.DataFrame({"q": weights["query_id"].map(at), "t": weights["term"].map(self.places), "w": weights["idf"].astype(float)})
+        self.blocks = []
+        for first in range(0, len(self.queries), QUERIES):
+            part = weights[(weights["q"] >= first) & (weights["q"] < first + QUERIES)]
+            used = np.unique(part["t"])
+            dense = np.zeros((len(used), min(QUERIES, len(self.queries) - first)))
+            dense[np.searchsorted(used, part["t"]), part["q"] - first] = part["w"]
+            self.blocks.append((first, used, dense))
+
+    def _postings(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, columns, values = [], [], []
+        for i, text in enumerate(texts):
+            found = _TERM.findall(text.translate(_FOLD)) if text else []
+            base = K1 * (1.0 - B + B * len(found) / self.average)
+            for term, tf in Counter(found).items():
+                place = self.places.get(term)
+                if place is not None:
+                    rows.append(i)
+                    columns.append(place)
+                    values.append(tf * (K1 + 1.0) / (tf + base))
+        return np.array(rows, np.int64), np.array(columns, np.int64), np.array(values, float)
+
+    def read(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(self.depths)
+        for batch in batches:
+            for start in range(0, len(batch), RECORDS):
+                part = batch[start : start + RECORDS]
+                names, ties = part["record"].to_numpy(object), part["tie"].to_numpy(object)
+                r, c, v = self._postings(list(part["text"]))
+                for first, used, dense in self.blocks:
+                    at = np.minimum(np.searchsorted(used, c), len(used) - 1)
+                    mine = used[at] == c
+                    hit = np.unique(r[mine])
+                    # Records by terms by queries, in steps that stay small whatever the queries hold.
+                    step = max(1, CELLS // len(used))
+                    for low in range(0, len(hit), step):
+                        some = hit[low : low + step]
+                        inside = mine & (r >= some[0]) & (r <= some[-1])
+                        block = np.zeros((len(some), len(used)))
+                        block[np.searchsorted(some, r[inside]), at[inside]] = v[inside]
+                        scores = np.round((block @ dense).T, 9)
+                        best.add(np.where(scores > 0, scores, -np.inf), names[some], ties[some], first)
+        for q, score, name, tie in best.rows():
+            yield pd.DataFrame({"query_id": self.queries[q], "record": name, "tie": tie, "raw_score": score})
 
 
 def keyword_candidates(queries: DataFrame, records: DataFrame, record: str, text: str, depth: str | int, tie: str | None = None, keep: DataFrame | None = None) -> DataFrame:
-    """``query_id, record, raw_score, keyword_rank``: the best ``depth`` records of each query.
+    """``query_id, record, raw_score, keyword_rank``: the best ``depth`` records of each query by BM25.
+
+    ``depth`` is a number or a column of ``queries``. Only records that hold a
+    term of the query score. Ties (in nine decimals) go by ``tie`` (a column of
+    ``records``, null last) and record. With ``keep`` (``record``) only those
+    are ranked, while statistics still cover all records.
 
-    ``depth`` is a number or a column of ``queries``. Ties go by ``tie`` (a
-    column of ``records``, null last) and record. With ``keep`` (``record``) only
-    those are ranked, while statistics still cover all records.
+    A record's terms are in one place, so it is scored where it is read against
+    the queries' weights, and each task keeps the best of each query: what is
+    shuffled are ``depth`` rows a query and task, and the counts of asked terms.
+    Queries are searched in parts of about ``topk.BATCH``.
     """
-    scored = bm25(queries, records, record, text)
+    spark = records.sparkSession
+    tie_column = F.col(tie) if tie else F.lit(None).cast("string")
+    rows = records.where(F.col(record).isNotNull()).select(F.col(record).alias("record"), tie_column.alias("tie"), F.col(text).alias("text"))
     if keep is not None:
-        scored = scored.join(keep, "record", "left_semi")
-    if tie:
-        scored = scored.join(records.select(F.col(record).alias("record"), F.col(tie).alias("tie")), "record", "left")
-    else:
-        scored = scored.withColumn("tie", F.lit(None).cast("string"))
-    if isinstance(depth, str):
-        scored = scored.join(queries.select("query_id", F.col(depth).alias("depth")), "query_id")
-    else:
-        scored = scored.withColumn("depth", F.lit(depth))
-    order = W.partitionBy("query_id").orderBy(F.round("raw_score", 9).desc(), F.asc_nulls_last("tie"), F.asc("record"))
-    return scored.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= F.col("depth")).select("query_id", "record", "raw_score", "keyword_rank")
+        rows = rows.join(keep.select("record"), "record", "left_semi")
+    kinds = StructType([queries.select("query_id").schema[0], *rows.select("record", "tie").schema.fields, StructField("raw_score", DoubleType())])
+    parts = []
+    for part in in_batches(queries.where(F.col("query_id").isNotNull()), "query_id"):
+        weights, average = asked_weights(query_terms(part), records, record, text)
+        if not len(weights):
+            continue
+        depths = {r[0]: r[1] or 1 for r in part.select("query_id", F.col(depth) if isinstance(depth, str) else F.lit(depth)).collect()}
+        scorer = spark.sparkContext.broadcast(_Scorer(weights, average, depths))
+        found = rows.mapInPandas(lambda batches, scorer=scorer: scorer.value.read(batches), kinds)
+        limits = spark.createDataFrame(list(depths.items()), StructType([kinds[0], StructField("depth", IntegerType())]))
+        order = W.partitionBy("query_id").orderBy(F.desc("raw_score"), F.asc_nulls_last("tie"), F.asc("record"))
+        ranked = found.withColumn("keyword_rank", F.row_number().over(order)).join(limits, "query_id").where(F.col("keyword_rank") <= F.greatest("depth", F.lit(1)))
+        parts.append(ranked.select("query_id", "record", "raw_score", "keyword_rank"))
+    if not parts:
+        empty = StructType([kinds[0], kinds[1], kinds[3], StructField("keyword_rank", IntegerType())])
+        return spark.createDataFrame([], empty)
+    return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+from fathomry.functions.skew import HOT, salted_join
+from fathomry.session import settle
 
 
 @dataclass(frozen=True)
@@ -74,7 +75,7 @@ def references(children: list[Child]) -> DataFrame:
     return keys.groupBy("parent", "ref_table", "ref_field", "alive", "record_id", "ref_key").agg(F.min("arrived").alias("arrived"))
 
 
-def orphans(parents: list[Parent], children: list[Child], salts: int = SALTS) -> DataFrame:
+def orphans(parents: list[Parent], children: list[Child], hot: int = HOT) -> DataFrame:
     """Stray references: ``ref_table, ref_field, record_id, ref_key, arrived, reason``.
 
     A reference is stray if no row of its key had arrived at or before the
@@ -85,8 +86,11 @@ def orphans(parents: list[Parent], children: list[Child], salts: int = SALTS) ->
     Repeated rows count once. A null arrival of a child is later than any
     parent's; a null arrival of a parent is ignored. Empty tables are fine: with
     no parents every reference is missing.
+
+    Children are read once: their references are kept while their groups are
+    judged, and a key that many refer to is spread over tasks as its count says.
     """
-    refs = references(children)
+    refs = settle(references(children))
     facts = []
     for parent in parents:
         gone = F.max(F.struct(F.col(parent.version).alias("v"), F.coalesce(parent.deleted, F.lit(False)).alias("d")))["d"] if parent.version else F.lit(False)
@@ -94,20 +98,18 @@ def orphans(parents: list[Parent], children: list[Child], salts: int = SALTS) ->
             parent.rows.where(F.col(parent.key).isNotNull())
             .groupBy(F.col(parent.key).cast("string").alias("ref_key"))
             .agg(F.min(parent.arrived).alias("since"), gone.alias("deleted"))
-            .select(F.lit(parent.name).alias("parent"), "ref_key", F.lit(True).alias("is_parent"), "since", "deleted", F.lit(None).cast("timestamp").alias("first_use"), F.lit(False).alias("alive"))
+            .select(F.lit(parent.name).alias("parent"), "ref_key", F.lit(True).alias("is_parent"), "since", "deleted", F.lit(None).cast("timestamp").alias("first_use"), F.lit(False).alias("alive"), F.lit(0).cast("long").alias("uses"))
         )
-    uses = refs.groupBy("parent", "ref_key").agg(F.min(F.coalesce("arrived", F.lit("0001-01-01").cast("timestamp"))).alias("first_use"), F.max("alive").alias("alive")).select(
-        "parent", "ref_key", F.lit(False).alias("is_parent"), F.lit(None).cast("timestamp").alias("since"), F.lit(False).alias("deleted"), "first_use", "alive"
+    uses = refs.groupBy("parent", "ref_key").agg(F.min(F.coalesce("arrived", F.lit("0001-01-01").cast("timestamp"))).alias("first_use"), F.max("alive").alias("alive"), F.count(F.lit(1)).alias("uses")).select(
+        "parent", "ref_key", F.lit(False).alias("is_parent"), F.lit(None).cast("timestamp").alias("since"), F.lit(False).alias("deleted"), "first_use", "alive", "uses"
     )
     groups = _union([*facts, uses]).groupBy("parent", "ref_key").agg(
-        F.max("is_parent").alias("known"), F.min("since").alias("since"), F.max("deleted").alias("deleted"), F.min("first_use").alias("first_use"), F.max("alive").alias("alive")
+        F.max("is_parent").alias("known"), F.min("since").alias("since"), F.max("deleted").alias("deleted"), F.min("first_use").alias("first_use"), F.max("alive").alias("alive"), F.sum("uses").alias("uses")
     )
     suspects = groups.where(
         F.col("first_use").isNotNull() & (~F.col("known") | F.col("since").isNull() | (F.col("since") > F.col("first_use")) | (F.col("deleted") & F.col("alive")))
-    ).select("parent", "ref_key", "known", "since", "deleted")
-    # A key may be referred to by a third of all rows: spread it over salts.
-    spread = suspects.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = refs.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")).join(spread, ["parent", "ref_key", "salt"])
+    ).select("parent", "ref_key", "known", "since", "deleted", "uses")
+    joined = salted_join(refs, settle(suspects), ["parent", "ref_key"], "uses", ["record_id"], hot)
     reason = (
         F.when(~F.col("known") | F.col("since").isNull(), "missing")
         .when(F.col("arrived") < F.col("since"), "late")

@@ -11,7 +11,7 @@ from fathomry.functions.vectors import mock_embedding
 from fathomry.operators.chunking import MARKDOWN, PLAIN, ChunkingConfig, chunk_documents
 from fathomry.operators.filters import passes
 from fathomry.operators.ingest import file_outcomes, missing_documents
-from fathomry.operators.keyword import corpus_stats, postings, term_stats
+from fathomry.operators.keyword import corpus_stats, term_stats
 from fathomry.plans.registry import Registry
 from fathomry.plans.tables import DOCS_SQL, current_chunks, current_documents, mock_sql, preview_sql, terms_sql, words_sql
 from fathomry.session import table
@@ -72,10 +72,8 @@ def markdown_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    posted = postings(docs, "doc_id", "text")
     stats = corpus_stats(docs, "doc_id", "text")
-    counted = term_stats(posted).join(posted.groupBy("term").agg(F.sum("tf").alias("occurrences")), "term")
-    return counted.select("term", "df", "occurrences", stats.select("n").scalar().alias("n_documents"), F.round(stats.select("average").scalar(), 6).alias("average_length"))
+    return term_stats(docs, "doc_id", "text").select("term", "df", "occurrences", stats.select("n").scalar().alias("n_documents"), F.round(stats.select("average").scalar(), 6).alias("average_length"))
 
 
 @registry.query("mock_embed", f"SELECT doc_id, i AS place, round(v[i], 6) AS value FROM (SELECT doc_id, {mock_sql('text', 48)} AS v FROM documents), unnest([1, 2, 33, 48]) AS u(i)")

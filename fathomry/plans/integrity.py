@@ -70,7 +70,7 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = ledger.load_runs(table(spark, sf_dir, "ingest_runs"))
+    runs = table(spark, sf_dir, "ingest_runs")
     docs = table(spark, sf_dir, "ingestion_docs").select("id", "updated_at", "arrived_at", "content_hash", "status")
     return ledger.replay(docs, runs, "id", "updated_at", "arrived_at", "content_hash", F.col("status") == "Deleted")
 
@@ -92,6 +92,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.where(F.col("state") == "done").select("run_id", F.col("item").alias("document_id"))
 
 
-@registry.query("p6_ledger")
+# The same of every run: what it leased is what differs from the state at the last successful run before it.
+LEDGER_SQL = """
+WITH log AS (SELECT run_no, run_id, started_at, run_status, row_number() OVER (ORDER BY started_at, run_no, run_id) AS token FROM ingest_runs),
+log2 AS (SELECT *, max(CASE WHEN run_status = 'succeeded' THEN token END) OVER (ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM log),
+docs AS (SELECT id, updated_at, content_hash, status, min(arrived_at) AS arrived_at FROM ingestion_docs GROUP BY ALL),
+state AS (SELECT token, id, CASE WHEN arg_max(status, updated_at) <> 'Deleted' THEN arg_max(content_hash, updated_at) END AS h
+          FROM log JOIN docs ON docs.arrived_at <= log.started_at GROUP BY ALL)
+SELECT i.id AS item, run_no, run_id, l.token, CASE WHEN run_status = 'succeeded' THEN 'done' WHEN run_status = 'running' AND l.token = (SELECT max(token) FROM log) THEN 'leased' ELSE 'expired' END AS state,
+       s.h AS value, p.h AS previous_value, 'items/' || substr(sha256(i.id), 1, 2) || '/' || i.id || '/' || coalesce(substr(sha256(s.h), 1, 16), 'deleted') AS path
+FROM log2 l CROSS JOIN (SELECT DISTINCT id FROM ingestion_docs) i LEFT JOIN state s ON s.token = l.token AND s.id = i.id LEFT JOIN state p ON p.token = l.base AND p.id = i.id
+WHERE s.h IS DISTINCT FROM p.h
+"""
+
+
+@registry.query("p6_ledger", LEDGER_SQL)
 def p6_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_history(spark, sf_dir)

@@ -70,19 +70,49 @@ def test_streamed_ingestion(spark, folder, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    store = VersionedTable(spark, str(tmp_path / "t"), "k string, g string, v int")
+    store = VersionedTable(spark, str(tmp_path / "t"), "k string, g string, v int", "k")
     assert store.read().count() == 0
     rows = lambda *r: spark.createDataFrame(list(r), "k string, g string, v int")
-    store.insert_new(rows(("a", "x", 1), ("b", "x", 2)), "k")
+    values = lambda: sorted((r.k, r.v) for r in store.read().collect())
+    store.insert_new(rows(("a", "x", 1), ("b", "x", 2)))
     for bad in (rows(("c", "x", 1), ("c", "x", 1)), rows(("d", "x", 1), ("a", "x", 1))):
         with pytest.raises(ValueError):
-            store.insert_new(bad, "k")
-    assert store.read().count() == 2
-    store.upsert(rows(("a", "y", 5), ("c", "y", 6)), "k")
-    store.replace_group(rows(("z", "x", 9)), "g", spark.createDataFrame([("y",)], "g string"))
-    assert [(r.k, r.v) for r in store.read().collect()] == [("z", 9)]
-    store.delete(rows(("z", "", 0)), "k")
-    assert store.read().count() == 0
+            store.insert_new(bad)
+    assert values() == [("a", 1), ("b", 2)]
+    store.upsert(rows(("a", "y", 5), ("c", "y", 6)))
+    store.replace(rows(("b", "x", 9), ("b", "x", 8)), rows(("a", "", 0), ("b", "", 0)))
+    assert values() == [("b", 8), ("b", 9), ("c", 6)]
+    assert store.compact() and values() == [("b", 8), ("b", 9), ("c", 6)]
+    store.delete(rows(("b", "", 0)))
+    assert values() == [("c", 6)]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    make = lambda: VersionedTable(spark, str(tmp_path / "t"), "k string, v int", "k")
+    first, second = make(), make()
+    calls = []
+
+    def change(state, now):
+        calls.append(state["version"])
+        if len(calls) == 1:
+            # Between this writer's reading and its commit another one commits.
+            second.upsert(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"))
+        return now.selectExpr("k", "v + 1 as v").union(spark.createDataFrame([("c", 0)], "k string, v int")), None, {}
+
+    first.commit(change)
+    assert calls == [0, 1] and sorted((r.k, r.v) for r in make().read().collect()) == [("a", 2), ("b", 2), ("c", 0)]
+    assert not first.commits.create({"version": 1})
+
+
+def test_many_changes_are_compacted(spark, tmp_path, monkeypatch):
+    from fathomry.sources import store as module
+
+    monkeypatch.setattr(module, "COMPACT_AT", 3)
+    store = VersionedTable(spark, str(tmp_path / "t"), "k string, v int", "k")
+    for i in range(4):
+        store.upsert(spark.createDataFrame([("same", i), (f"k{i}", i)], "k string, v int"))
+    assert len(store.commits.newest()["changes"]) == 1
+    assert sorted((r.k, r.v) for r in store.read().collect()) == [("k0", 0), ("k1", 1), ("k2", 2), ("k3", 3), ("same", 3)]
 
 
 def test_dimension_guard(spark):

@@ -2,19 +2,22 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import namedtuple
 
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.operators.ledger import Run, StaleToken, WorkLedger, load_runs, replay
+from fathomry.operators.ledger import StaleToken, WorkLedger, replay, run_table
 
 T = [dt.datetime(2025, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+Run = namedtuple("Run", "number run_id started_at status")
 ROWS = "id string, v int, at timestamp, h string, status string, item string, slot string"
 
 
 def history(spark, rows, runs):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], ROWS)
-    return replay(df, runs, "id", "v", "at", "h", F.col("status") == "Deleted")
+    log = spark.createDataFrame([tuple(r) for r in runs], "run_no int, run_id string, started_at timestamp, run_status string")
+    return replay(df, log, "id", "v", "at", "h", F.col("status") == "Deleted")
 
 
 def brute(rows, runs):
@@ -71,7 +74,7 @@ def test_nulls_and_empty(spark):
     assert [x.item for x in history(spark, rows, runs).collect()] == ["g"]
     assert history(spark, [], runs).count() == 0 and history(spark, rows, []).count() == 0
     log = spark.createDataFrame([(1, "a", T[1], "succeeded"), (2, "b", T[0], None), (3, None, T[0], "failed"), (4, "d", None, "failed")], "run_no int, run_id string, started_at timestamp, run_status string")
-    assert [(r.run_id, r.status) for r in load_runs(log)] == [("b", "running"), ("a", "succeeded")]
+    assert [(r.run_id, r.status, r.next_done, r.last) for r in run_table(log).orderBy("at").collect()] == [("b", "running", 1, False), ("a", "succeeded", 1, True)]
 
 
 def test_durable_ledger(spark, tmp_path):
@@ -103,13 +106,51 @@ def test_durable_ledger(spark, tmp_path):
     assert {r.item: r.done.value for r in book.rows().collect()} == {"a": "2", "b": "9", "c": None}
 
 
-def test_a_version_without_success_does_not_count(spark, tmp_path):
+def test_a_writer_that_dies_leaves_the_ledger_as_it_was(spark, tmp_path):
     book = WorkLedger(spark, str(tmp_path / "ledger"))
-    rows = spark.createDataFrame([("a", "1")], "item string, value string")
-    book.lease(rows, 1, T[0], T[2])
-    broken = tmp_path / "ledger" / "versions" / "v00000002"
+    book.lease(spark.createDataFrame([("a", "1")], "item string, value string"), 1, T[0], T[2])
+    broken = tmp_path / "ledger" / "ledger" / "data" / "half"
     broken.mkdir()
     (broken / "part-0.parquet").write_bytes(b"half")
+    (tmp_path / "ledger" / "ledger" / "commits" / "draft-x").write_text("{")
     assert [r.item for r in book.rows().collect()] == ["a"]
     book.complete(1, T[1])
     assert book.rows().first().state == "done"
+
+
+@pytest.mark.parametrize("later", [2, 1])
+def test_interleaved_leases(spark, tmp_path, later):
+    """Another run commits after this one has read the ledger: a newer token takes all, an older one leaves the rest."""
+    rows = spark.createDataFrame([("a", "1"), ("b", "1")], "item string, value string")
+    mine, other = WorkLedger(spark, str(tmp_path / "l")), WorkLedger(spark, str(tmp_path / "l"))
+    create, got = mine.table.commits.create, []
+
+    def slow(record):
+        if not got:
+            got.append([r.item for r in other.lease(rows.where("item = 'a'"), later, T[0], T[9], whole=False).collect()])
+        return create(record)
+
+    mine.table.commits.create = slow
+    if later == 2:
+        with pytest.raises(StaleToken):
+            mine.lease(rows, 1, T[0], T[9])
+        assert mine.newest_token() == 2
+    else:
+        assert [r.item for r in mine.lease(rows, 2, T[0], T[9]).collect()] == ["b"]
+        assert {(r.item, r.token) for r in mine.rows().collect()} == {("a", 1), ("b", 2)}
+    assert got == [["a"]]
+
+
+def test_only_changes_are_offered(spark, tmp_path):
+    book = WorkLedger(spark, str(tmp_path / "l"))
+    want = lambda *rows: spark.createDataFrame(list(rows), "item string, value string")
+    book.lease(want(("a", "1"), ("b", "1")), 1, T[0], T[2], whole=False)
+    book.complete(1, T[1])
+    book.lease(want(("c", "1")), 2, T[1], T[3], whole=False)
+    # Run 2 died. Run 3 is told of one change and one deletion, and takes over what was left.
+    left = {(r.item, r.value) for r in book.lease(want(("b", None), ("a", "1")), 3, T[4], T[6], whole=False).collect()}
+    assert left == {("b", None), ("c", "1")}
+    with pytest.raises(StaleToken):
+        book.complete(2, T[5])
+    book.complete(3, T[5])
+    assert {r.item: r.done.value for r in book.rows().collect()} == {"a": "1", "b": None, "c": "1"}

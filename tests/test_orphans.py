@@ -13,10 +13,10 @@ DOC = "id string, v int, status string, at timestamp, ref_key string, parent str
 REF = "rec string, doc string, at timestamp, salt int, known string"
 
 
-def run(spark, docs, refs, alive=True):
+def run(spark, docs, refs, alive=True, **options):
     d = spark.createDataFrame([(*r, "x", "y") for r in docs], DOC)
     c = spark.createDataFrame([(*r, 1, "k") for r in refs], REF)
-    return orphans([Parent("d", d, "id", "at", "v", F.col("status") == "Deleted")], [Child("r", "doc", "d", c, "rec", F.col("doc"), "at", alive=alive)])
+    return orphans([Parent("d", d, "id", "at", "v", F.col("status") == "Deleted")], [Child("r", "doc", "d", c, "rec", F.col("doc"), "at", alive=alive)], **options)
 
 
 def as_set(df):
@@ -65,3 +65,10 @@ def test_lists_of_keys_and_report(spark):
     assert as_set(found) == {("1", "b", "missing")}
     report = orphan_report(found).collect()
     assert [(r.month, r.n_references, r.n_records) for r in report] == [("2025-01", 1, 1)]
+
+
+def test_hot_keys_are_spread(spark):
+    refs = [(str(i), "none" if i % 3 else f"k{i % 5}", T[2]) for i in range(60)]
+    docs = [("k0", 1, "Active", T[0])]
+    found = run(spark, docs, refs, hot=7)
+    assert as_set(found) == {(r, k, "missing") for r, k, _ in refs if k != "k0"} and found.count() == len(as_set(found))

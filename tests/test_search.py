@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.functions.ranking import banded_rank
+from fathomry.functions.ranking import by_size, place, running, totals
 from fathomry.functions.scoring import fetch_depth, fused_score, hybrid_depth
-from fathomry.operators.keyword import bm25, keyword_candidates
+from fathomry.operators.keyword import keyword_candidates, term_stats
 from fathomry.operators.search import ModelMismatch, check_model, run_summary, search
 from fathomry.operators.vector import vector_candidates
 
@@ -91,7 +93,7 @@ def test_keyword_ties_and_normalisation(spark):
     q = spark.createDataFrame([("q", "same WORDS same")], "query_id string, text string")
     found = keyword_candidates(q, rows, "id", "text", 2).orderBy("keyword_rank").collect()
     assert [r.record for r in found] == [1, 2] and found[0].raw_score == found[1].raw_score > 0
-    assert bm25(q, rows.limit(0), "id", "text").count() == 0
+    assert keyword_candidates(q, rows.limit(0), "id", "text", 3).count() == 0
 
 
 def test_vector_ties_nulls_and_depths(spark):
@@ -102,10 +104,47 @@ def test_vector_ties_nulls_and_depths(spark):
     assert vector_candidates(q.limit(0), vectors, "id", "v", 3).count() == 0
 
 
-def test_banded_rank_is_the_plain_rank(spark):
-    rows = spark.range(500).select((F.col("id") % 3).alias("g"), "id", F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 100) / 100.0).alias("s"))
-    ranked = banded_rank(rows, ["g"], "s", [F.asc("id")], "r", bands=8)
+@pytest.mark.parametrize("hot", [1, 150, 1000])
+def test_places_and_sums_do_not_depend_on_the_form(spark, hot):
     from pyspark.sql import Window as W
 
-    plain = F.row_number().over(W.partitionBy("g").orderBy(F.desc_nulls_last("s"), "id"))
-    assert ranked.withColumn("p", plain).where("p <> r").count() == 0
+    rows = spark.range(500).select(F.when(F.col("id") % 7 > 1, F.lit(0)).otherwise(F.col("id") % 3).alias("g"), "id", F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 100) / 100.0).alias("s"))
+    order = [F.desc_nulls_last("s"), F.asc("id")]
+
+    def build(part, split):
+        part = place(part, ["g"], order, "r", split)
+        part = running(part, ["g"], [F.desc("id")], F.col("id") % 5, "before", split)
+        return totals(part, ["g"], {"n": F.count(F.lit(1)), "top": F.max("s")}, split).select("g", "id", "r", "before", "n", "top")
+
+    found = by_size(rows, ["g"], build, hot).join(rows, ["g", "id"])
+    ordered = W.partitionBy("g").orderBy(*order)
+    backwards = W.partitionBy("g").orderBy(F.desc("id")).rowsBetween(W.unboundedPreceding, -1)
+    checked = found.withColumn("p", F.row_number().over(ordered) - 1).withColumn("b", F.coalesce(F.sum(F.col("id") % 5).over(backwards), F.lit(0)))
+    checked = checked.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("g"))).withColumn("t", F.max("s").over(W.partitionBy("g")))
+    assert found.count() == 500 and checked.where("p <> r or b <> before or m <> n or t <> top").count() == 0
+
+
+def test_searching_in_parts_and_blocks_gives_the_same(spark, monkeypatch):
+    from fathomry.operators import keyword, topk, vector
+
+    r = random.Random(3)
+    words = ["ab", "cd", "ef", "gh", "ij", "kl"]
+    rows = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randint(0, 9))), [r.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(300)], "id int, text string, v array<double>").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(r.choices(words, k=2)), [r.random() for _ in range(3)], i % 5 + 1) for i in range(23)], "query_id string, text string, vector array<double>, depth int")
+
+    def both():
+        k = keyword_candidates(asked, rows, "id", "text", "depth").collect()
+        v = vector_candidates(asked, rows, "id", "v", "depth").collect()
+        return {(x.query_id, x.record, round(x.raw_score, 6), x.keyword_rank) for x in k}, {(x.query_id, x.record, x.distance, x.vector_rank) for x in v}
+
+    whole = both()
+    assert len(whole[0]) == len(whole[1]) == sum(i % 5 + 1 for i in range(23))
+    monkeypatch.setattr(topk.in_batches, "__defaults__", (4,))
+    for module in (keyword, vector):
+        monkeypatch.setattr(module, "CELLS", 20)
+    assert both() == whole
+
+
+def test_term_counts(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, "B c"), (3, None), (4, ""), (None, "a")], "id int, text string")
+    assert {(r.term, r.df, r.occurrences) for r in term_stats(rows, "id", "text").collect()} == {("a", 1, 2), ("b", 2, 2), ("c", 1, 1)}
