@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from fathomry.functions.scoring import B, K1, idf
 from fathomry.functions.text import LOWER, UPPER, terms
 from fathomry.operators.topk import CELLS, Best, in_batches
+from fathomry.session import spread
 
 _TERM = re.compile("[a-z0-9]+")
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -46,7 +47,7 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
 def asked_weights(asked: DataFrame, records: DataFrame, record: str, text: str) -> tuple[pd.DataFrame, float]:
     """``query_id, term, idf`` of the asked terms that occur, and the records' average length."""
     wanted = asked.select("term").distinct()
-    distinct = records.where(F.col(record).isNotNull()).select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    distinct = spread(records.where(F.col(record).isNotNull()).select(F.col(text))).select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
     counted = distinct.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(records, record, text).first()
     weighed = asked.join(counted, "term").select("query_id", "term", idf(F.lit(stats.n), F.col("df")).alias("idf"))
@@ -134,7 +135,7 @@ def keyword_candidates(queries: DataFrame, records: DataFrame, record: str, text
             continue
         depths = {r[0]: r[1] or 1 for r in part.select("query_id", F.col(depth) if isinstance(depth, str) else F.lit(depth)).collect()}
         scorer = spark.sparkContext.broadcast(_Scorer(weights, average, depths))
-        found = rows.mapInPandas(lambda batches, scorer=scorer: scorer.value.read(batches), kinds)
+        found = spread(rows).mapInPandas(lambda batches, scorer=scorer: scorer.value.read(batches), kinds)
         limits = spark.createDataFrame(list(depths.items()), StructType([kinds[0], StructField("depth", IntegerType())]))
         order = W.partitionBy("query_id").orderBy(F.desc("raw_score"), F.asc_nulls_last("tie"), F.asc("record"))
         ranked = found.withColumn("keyword_rank", F.row_number().over(order)).join(limits, "query_id").where(F.col("keyword_rank") <= F.greatest("depth", F.lit(1)))

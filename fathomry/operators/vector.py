@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomry.operators.topk import CELLS, Best, in_batches
+from fathomry.session import spread
 
 FOUND = "query_id string, record string, distance double"
 
@@ -72,7 +73,7 @@ def vector_candidates(queries: DataFrame, vectors: DataFrame, record: str, vecto
             continue
         scorer = spark.sparkContext.broadcast(_Scorer([r.q for r in held], [r.v for r in held], [r.d for r in held]))
         limits = spark.createDataFrame([(r.q, r.d) for r in held], "query_id string, depth int")
-        found = rows.mapInPandas(lambda batches, scorer=scorer: scorer.value.read(batches), FOUND)
+        found = spread(rows).mapInPandas(lambda batches, scorer=scorer: scorer.value.read(batches), FOUND)
         order = W.partitionBy("query_id").orderBy("distance", "record")
         ranked = found.withColumn("vector_rank", F.row_number().over(order)).join(limits, "query_id").where(F.col("vector_rank") <= F.col("depth"))
         parts.append(ranked.drop("depth"))

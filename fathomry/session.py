@@ -29,6 +29,19 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores, any other as it is.
+
+    Spark cuts files no finer than its cost of opening one (4 MB), so an input of
+    less than that for each core would leave cores idle in a costly scan. What
+    is shuffled here is bounded by that size; tables of unknown size are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * 2_000_000 else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
