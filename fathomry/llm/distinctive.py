@@ -14,10 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.functions.skew import HOT, salted_join
 from fathomry.functions.text import terms
 
-# Common terms occur in most records: their pairs are spread over so many salts when the counts join back.
-SALTS = 8
 # Saturation and length normalisation of the keyword score.
 K1 = 1.2
 B = 0.75
@@ -54,8 +53,8 @@ def distinctive_terms(
 
     Records are shuffled once, by their key, so that counting a record's terms
     needs no further shuffle; the distinct term-record pairs are pre-aggregated
-    per task, and only the terms' counts are shuffled. The join back is salted, as
-    some terms occur in most records.
+    per task, and only the terms' counts are shuffled. In the join back a
+    term of very many records is spread over salts, as many as its count asks for.
     """
     base = one_row_per_record(df, record, text, arrived).withColumn("terms", terms(F.col("text"))).drop("text")
     frequency = base.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -70,10 +69,10 @@ def distinctive_terms(
         .agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
         .where(F.col("tf") >= min_tf)
     )
-    # Hashing the count too keeps the optimiser from pushing a null check on the salt below the shuffle that both branches share.
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("record", "tf"), F.lit(SALTS)).cast("int"))
-    spread = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(spread, ["term", "salt"])
+    if max_df is not None and max_df <= HOT:
+        joined = counts.join(kept, "term")
+    else:
+        joined = salted_join(counts, kept, ["term"], "df", ["record"])
     idf = inverse_document_frequency(n, F.col("df"))
     return joined.select(
         "record", "term", "tf", "df", idf.alias("idf"), weight(F.col("tf"), F.col("length"), average, idf, k1, b).alias("score")

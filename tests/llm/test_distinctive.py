@@ -41,6 +41,16 @@ def test_brute_force(spark):
     assert few == {k for k, (tf, df, _) in expected.items() if tf >= 3 and 2 <= df <= 12}
 
 
+def test_hot_terms_are_spread(spark, monkeypatch):
+    from fathomry.llm import distinctive
+
+    docs = {f"c{i}": f"the the word{i % 4} own{i}" for i in range(50)}
+    rows = [(d, t, 1) for d, t in docs.items()]
+    monkeypatch.setattr(distinctive.salted_join, "__defaults__", (5,))
+    got = {(x.record, x.term): (x.tf, x.df) for x in distinctive_terms(frame(spark, rows), "id", "body", "at").collect()}
+    assert got == {k: v[:2] for k, v in brute(docs).items()}
+
+
 def test_empty(spark):
     assert distinctive_terms(frame(spark, []), "id", "body", "at").count() == 0
     assert distinctive_terms(frame(spark, [("a", None, 1), ("b", "", None)]), "id", "body", "at").count() == 0

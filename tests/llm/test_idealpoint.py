@@ -94,6 +94,26 @@ def test_one_sided_brute_force(spark, seed):
                 pairs = list(combinations(both, 2))
                 if sum(q[other] > p[other] for p, q in pairs) >= 0.4 * len(pairs):
                     expected.add((g, "v" if lead == 2 else "k"))
-    ranked = ideal_point_ranking(items(spark, rows), ["v", "k"])
-    assert {(x.grp, x.leading) for x in one_sided_groups(ranked, "rank", "v", "k").collect()} == expected
-    assert expected
+    assert expected and ("big", "v") in expected
+    # Whatever the size from which groups are spread, the result is the same.
+    for hot in (100_000, 100):
+        assert {(x.grp, x.leading) for x in one_sided_groups(items(spark, rows), "rank", "v", "k", hot=hot).collect()} == expected
+
+
+def test_large_groups_rank_the_same(spark):
+    r = random.Random(4)
+    rows = [(f"g{g}", f"c{i:03}", T, i, r.choice([None, float(r.randint(0, 30)), 1e6 * r.random()]), r.random()) for g in range(3) for i in range(120 * g + 10)]
+    def ranked(hot):
+        return {(x.grp, x.item): (round(x.closeness, 12), x.ideal_rank) for x in ideal_point_ranking(items(spark, rows), ["v", "k"], hot=hot).collect()}
+    assert ranked(100) == ranked(100_000)
+
+
+def test_the_ranking_decides(spark, monkeypatch):
+    """With the operator's scores spoilt, the groups are no longer found."""
+    from fathomry.llm import idealpoint
+
+    rows = [("g", f"c{i}", T, i, float(-i), float(i)) for i in range(6)]
+    assert one_sided_groups(items(spark, rows), "rank", "v", "k").count() == 1
+    whole = idealpoint._ranked
+    monkeypatch.setattr(idealpoint, "_ranked", lambda *a: whole(*a).withColumns({"v_n": -idealpoint.F.col("v_n"), "k_n": idealpoint.F.abs(idealpoint.F.col("k_n") - 0.3)}))
+    assert one_sided_groups(items(spark, rows), "rank", "v", "k").count() == 0
