@@ -82,3 +82,15 @@ w AS (SELECT sum(n) AS total FROM d)
 SELECT t.source, target_share, max_repeats, coalesce(documents, 0) AS documents, coalesce(n, 0) * max_repeats < target_share * total AS short, true AS within_repeats, true AS met, coalesce(n, 0) > 0 AS used
 FROM source_targets t LEFT JOIN d USING (source) CROSS JOIN w
 """
+
+# The longest shared run of words is the longest n for which some n-gram of the item stands in the document.
+P8_ITEMS = """
+WITH RECURSIVE d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM eval_items),
+g AS (SELECT item_id, w, s FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12)),
+runs AS (
+  SELECT doc_id, t, item_id, w, s, 12 AS n FROM d JOIN g ON contains(d.t, ' ' || array_to_string(w[s : s + 11], ' ') || ' ')
+  UNION ALL SELECT doc_id, t, item_id, w, s, n + 1 FROM runs WHERE s + n <= len(w) AND contains(t, ' ' || array_to_string(w[s : s + n], ' ') || ' ')
+), best AS (SELECT doc_id, item_id, max(n) AS n, any_value(len(w)) AS words FROM runs GROUP BY doc_id, item_id)
+SELECT item_id, count(*) AS n_documents, max(n) AS most_shared_words, any_value(words) AS item_words, count(*) FILTER (n = words) AS n_whole FROM best GROUP BY item_id
+"""

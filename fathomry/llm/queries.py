@@ -125,7 +125,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(spark, sf_dir).select("doc_id", "item_id")
 
 
-@registry.query("p8_items")
+@registry.query("p8_items", oracle.P8_ITEMS)
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation item: the documents that hold a passage, and how much of it at most."""
     found = leaked(spark, sf_dir)

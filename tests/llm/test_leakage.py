@@ -55,6 +55,10 @@ def test_brute_force(spark):
     df = spark.createDataFrame([(d, t, 1, 1, 1) for d, t in docs], "doc_id long, text string, item_id int, fp int, pos int")
     it = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = {(x.doc_id, x.item_id): x for x in leaks(df, it).collect()}
+    # Looked up in many parts, the items give the same.
+    assert {(x.doc_id, x.item_id): x for x in leaks(df, it, part=300).collect()} == got
+    plan = leaks(df, it)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
     expected = brute([x for x in docs if x[0] not in (203, 204)], items, 12) | {(203, 92): 40}
     expected[204, 0] = len(items[0][1].split())
     assert {k: x.shared_words for k, x in got.items() if k[1] != 92 or k[0] == 203} == expected
