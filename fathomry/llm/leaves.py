@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,72 +37,117 @@ _STATE = re.compile(
     r"|\\begin\{(?P<env>[A-Za-z]+\*?)\}|\\end\{(?P<endenv>[A-Za-z]+\*?)\}|(?P<math>\\\[)|(?P<endmath>\\\])|(?P<dollars>\$\$)"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(?P<void>/?)>|(?P<comment><!--)|(?P<endcomment>-->)"
 )
-MAX_DEPTH = 12
+
+
+WORDS, MARKS, PATHS, PLACES = 24, 96, 24, 12
+WIDTH = WORDS + MARKS + PATHS + PLACES
+
+
+@lru_cache(maxsize=100_000)
+def _slot(kind: str, token: str) -> tuple[int, float]:
+    h = zlib.crc32(f"{kind} {token}".encode())
+    size, base = {"word": (WORDS, 0), "mark": (MARKS, WORDS), "path": (PATHS, WORDS + MARKS)}[kind]
+    return base + h % size, 1.0 if h >> 16 & 1 else -1.0
+
+
+class Path:
+    """An open structure, the ones it lies in, and what all of them together add to a leaf's vector.
+
+    Paths share their outer parts, so that a leaf costs the same however deep it lies.
+    """
+
+    __slots__ = ("name", "outer", "depth", "kinds", "vector")
+
+    def __init__(self, name: str = "", outer: Path | None = None):
+        self.name, self.outer = name, outer
+        self.depth = 0 if outer is None else outer.depth + 1
+        self.kinds: frozenset[str] = frozenset() if outer is None else outer.kinds | {name.partition(":")[0], name}
+        self.vector = np.zeros(PATHS) if outer is None else outer.vector.copy()
+        if outer is not None:
+            for token in (name, f"{outer.depth} {name.partition(':')[0]}"):
+                slot, sign = _slot("path", token)
+                self.vector[slot - WORDS - MARKS] += sign
+
+    def has(self, *names: str) -> bool:
+        """Whether a structure of one of these kinds (or a name such as ``env:align``) is open."""
+        return not self.kinds.isdisjoint(names)
+
+    def names(self) -> list[str]:
+        out, at = [], self
+        while at.outer is not None:
+            out.append(at.name)
+            at = at.outer
+        return out[::-1]
 
 
 @dataclass(frozen=True, slots=True)
 class Leaf:
     start: int
     end: int
-    path: tuple[str, ...]
+    path: Path
     first: bool
     last: bool
     after_blank: bool
     before_blank: bool
 
 
-def _advance(line: str, path: list[str]) -> None:
-    """Open and close structures as the line says."""
+class _Open:
+    """The stack of open structures while a text is read."""
+
+    def __init__(self) -> None:
+        self.path, self.count = Path(), Counter()
 
-    def close(name: str) -> None:
-        for k in range(len(path) - 1, -1, -1):
-            if path[k] == name:
-                del path[k:]
+    def open(self, name: str) -> None:
+        self.path = Path(name, self.path)
+        self.count[name] += 1
+
+    def close(self, name: str) -> None:
+        """Close the innermost structure of the name and all within it; nothing if there is none."""
+        while self.count[name]:
+            inner = self.path
+            self.path = inner.outer
+            self.count[inner.name] -= 1
+            if inner.name == name:
                 return
 
-    for m in _STATE.finditer(line):
-        kind = m.lastgroup
-        if path and path[-1] == "fence":
-            if m["fence"]:
-                path.pop()
-            continue
-        if m["fence"]:
-            path.append("fence")
-        elif m["env"]:
-            path.append("env:" + m["env"])
-        elif m["endenv"]:
-            close("env:" + m["endenv"])
-        elif m["tag"]:
-            name = m["tag"].lower()
-            if name in TAGS and name not in VOID and not m["void"]:
-                if m["close"]:
-                    close("tag:" + name)
-                else:
-                    path.append("tag:" + name)
-        elif kind == "dollars":
-            if "dollars" in path:
-                close("dollars")
-            else:
-                path.append("dollars")
-        elif kind and kind.startswith("end"):
-            close(kind[3:])
-        elif kind in ("table", "template", "math", "comment"):
-            path.append(kind)
-        del path[MAX_DEPTH:]
+    def read(self, line: str) -> None:
+        """Open and close structures as the line says."""
+        for m in _STATE.finditer(line):
+            kind = m.lastgroup
+            if self.path.name == "fence":
+                if m["fence"]:
+                    self.close("fence")
+            elif m["fence"]:
+                self.open("fence")
+            elif m["env"]:
+                self.open("env:" + m["env"])
+            elif m["endenv"]:
+                self.close("env:" + m["endenv"])
+            elif m["tag"]:
+                name = m["tag"].lower()
+                if name in TAGS and name not in VOID and not m["void"]:
+                    (self.close if m["close"] else self.open)("tag:" + name)
+            elif kind == "dollars":
+                (self.close if self.count["dollars"] else self.open)("dollars")
+            elif kind and kind.startswith("end"):
+                self.close(kind[3:])
+            elif kind in ("table", "template", "math", "comment"):
+                self.open(kind)
 
 
 def leaves(text: str) -> list[Leaf]:
     out: list[Leaf] = []
-    path: list[str] = []
+    state = _Open()
     lines = [(m.start(), m.end()) for m in _LINE.finditer(text) if not m.group().isspace()]
     gaps = [True] + [text[a[1] : b[0]].count("\n") > 1 or text[a[1] : b[0]].count("\r") > 1 for a, b in zip(lines, lines[1:])] + [True]
     for k, (start, end) in enumerate(lines):
         line = text[start:end]
-        before = tuple(path)
+        before = state.path
         if _SIGN.search(line):
-            _advance(line, path)
-        held = before + tuple(p for p in path[len(before) :])
-        if "fence" in held or "table" in held or line.lstrip().startswith("|"):
+            state.read(line)
+        # A line that closes a structure still belongs to it, one that opens some belongs to them.
+        held = state.path if state.path.depth > before.depth else before
+        if held.has("fence", "table") or line.lstrip().startswith("|"):
             cuts = [0, len(line)]
         else:
             # Formulas between double dollars are not cut.
@@ -111,18 +157,9 @@ def leaves(text: str) -> list[Leaf]:
     return out
 
 
-WORDS, MARKS, PATHS, PLACES = 24, 96, 24, 12
-WIDTH = WORDS + MARKS + PATHS + PLACES
 _TOKEN = re.compile(r"</?[A-Za-z][A-Za-z0-9]*|<!--|&#?[A-Za-z0-9]+;|\\[A-Za-z]+|\\[^A-Za-z0-9\s]|[A-Za-z]+|\d+|_+|([^\w\s])\1*")
 
 
-@lru_cache(maxsize=100_000)
-def _slot(kind: str, token: str) -> tuple[int, float]:
-    h = zlib.crc32(f"{kind} {token}".encode())
-    size, base = {"word": (WORDS, 0), "mark": (MARKS, WORDS), "path": (PATHS, WORDS + MARKS)}[kind]
-    return base + h % size, 1.0 if h >> 16 & 1 else -1.0
-
-
 def _side(c: str) -> str:
     return "s" if not c or c.isspace() else "w" if c.isalnum() else "p"
 
@@ -159,13 +196,6 @@ def _features(text: str, leaf: Leaf, row: int, at: list[int], values: list[float
                 slot, sign = _slot("mark", k)
                 at.append(base + slot)
                 values.append(sign)
-    for depth, p in enumerate(leaf.path):
-        slot, sign = _slot("path", p)
-        at.append(base + slot)
-        values.append(sign)
-        slot, sign = _slot("path", f"{depth} {p.partition(':')[0]}")
-        at.append(base + slot)
-        values.append(sign)
     stripped = body.strip()
     places = (
         leaf.first, leaf.last, leaf.after_blank, leaf.before_blank, stripped[:2] in ("- ", "* ", "+ "), bool(re.match(r"\d{1,3}[.)]\s", stripped)),
@@ -185,4 +215,7 @@ def vectors(text: str, found: list[Leaf]) -> np.ndarray:
     for row, leaf in enumerate(found):
         _features(text, leaf, row, at, values)
     x = np.bincount(at, weights=values, minlength=len(found) * WIDTH).reshape(len(found), WIDTH)
+    for row, leaf in enumerate(found):
+        if leaf.path.depth:
+            x[row, WORDS + MARKS : WORDS + MARKS + PATHS] += leaf.path.vector
     return (np.sign(x) * np.log1p(np.abs(x))).astype(np.float32)

@@ -2,7 +2,7 @@
 
 A bidirectional LSTM reads a text's leaves from end to end (structure paths and
 hashed words) and says of each which formats it is marked up in and what kind of
-block it is; formats are confirmed by a witness in the leaf. The labels choose
+block it is. Its labels alone decide which texts hold which markup, and choose
 how each leaf is cleaned.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from fathomry.llm.bilstm import Labeller, pad
 from fathomry.llm.leaves import SIGNS, TAGS, WIDTH, Leaf, leaves, vectors
 from fathomry.llm.markup_samples import BLOCKS, FORMATS, Sample, samples
+from fathomry.session import spread
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,8 @@ class Settings:
     batch: int = 32
     rate: float = 0.01
     seed: int = 11
-    # Low, as a witness must confirm what the model says.
-    threshold: float = 0.1
+    # A format is said if its probability is at least this; below a half, as one of many leaves is enough to find a text's format and few are marked.
+    threshold: float = 0.4
 
 
 def targets(sample: Sample, found: list[Leaf]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,55 +85,12 @@ def label(model: Labeller, texts: list[str], cells: int = 200_000) -> list[tuple
     return out
 
 
-# Witnesses: what a leaf of each format must show.
-_HTML = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:\s+[A-Za-z-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*\s*/?>|<!--|-->|<!DOCTYPE|&(?:[A-Za-z]{2,8}|#\d{2,6}|#x[0-9A-Fa-f]{2,5});", re.IGNORECASE)
-_MARKDOWN = re.compile(
-    r"^\s{0,3}#{1,6} +\S|^\s{0,3}(?:[-*+]|\d{1,3}[.)])\s+\S|^\s{0,3}>\s?\S|^\s{0,3}(?:```|~~~)|^\s{0,3}(?:={3,}|-{3,})\s*$|^\|.*\|\s*$|^\s*\|?(?:\s*:?-{3,}:?\s*\|)+"
-    r"|\*\*[^\s*](?:[^*]*[^\s*])?\*\*|(?<![\w_])__[^\s_](?:[^_]*[^\s_])?__(?![\w_])|(?<![\w*])\*[^\s*](?:[^*]*[^\s*])?\*(?![\w*])|(?<![\w_])_[^\s_](?:[^_]*[^\s_])?_(?![\w_])"
-    r"|~~[^\s~](?:[^~]*[^\s~])?~~|(?<!`)`[^`\n]+`(?!`)|!?\[[^\]\n]*\]\([^()\s]+(?:\s+\"[^\"]*\")?\)|\[\^[^\]\s]+\]|^\s*\[[^\]]+\]:\s*\S+|<https?://[^\s>]+>",
-    re.MULTILINE,
-)
 _MAGIC = r"__(?:[A-Z]{3,}(?:_[A-Z]+)*)__"
-_WIKI = re.compile(
-    r"\[\[[^\[\]\n]+\]\]|\{\{[^{}\n]*|^\s*\}\}|\}\}|^\s*\{\||^\s*\|\}|^\s*\|-(?!-)|^\s*!(?!\[)\s*\S|'{2,5}[^'\s](?:[^'\n]|'(?!'))*'{2,5}|^\s*(={2,6})[^=\n].*?[^=\n]\1\s*$"
-    rf"|{_MAGIC}|\[https?://[^\s\]]+ [^\]]+\]|^#REDIRECT",
-    re.MULTILINE,
-)
-_LATEX = re.compile(
-    r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{|\\item\b|\\hline\b|\\\[|\\\]|\\\(|\\\)|\$\$|(?<![\w$\\])\$(?=[^\s$])[^$\n]*[\\^_{=][^$\n]*\$(?!\d)|^\s*\\[A-Za-z]+|~\\[a-z]+"
-)
-
-
-def _in(path: tuple[str, ...], *names: str) -> bool:
-    return any(p.partition(":")[0] in names for p in path)
-
-
-def witnessed(body: str, path: tuple[str, ...]) -> frozenset[str]:
-    """Formats a leaf shows signs of, given where it lies."""
-    line = body.strip()
-    if _in(path, "fence"):
-        return frozenset(("markdown",))
-    shown = set()
-    if _in(path, "tag", "comment") or any(m.group(1) is None or m.group(1).lower() in TAGS for m in _HTML.finditer(line)):
-        shown.add("html")
-    rest = line
-    if _in(path, "table", "template") or _WIKI.search(line):
-        shown.add("wiki")
-        rest = _WIKI.sub(" ", line)
-    if _MARKDOWN.search(rest) and not _in(path, "table", "template", "env", "math", "dollars"):
-        shown.add("markdown")
-    if _in(path, "env", "math", "dollars") or _LATEX.search(line):
-        shown.add("latex")
-    return frozenset(shown)
-
-
-def formats_of(text: str, found: list[Leaf], flags: np.ndarray, threshold: float) -> list[frozenset[str]]:
-    """Per leaf, the formats that the labeller says and a witness confirms."""
-    out = []
-    for leaf, p in zip(found, flags):
-        said = {f for f, v in zip(FORMATS, p) if v >= threshold}
-        out.append(frozenset(said & witnessed(text[leaf.start : leaf.end], leaf.path)) if said else frozenset())
-    return out
+
+
+def formats_of(flags: np.ndarray, threshold: float) -> list[frozenset[str]]:
+    """Per leaf, the formats that the labeller says."""
+    return [frozenset(f for f, v in zip(FORMATS, p) if v >= threshold) for p in flags]
 
 
 def _plain_html(s: str) -> str:
@@ -206,9 +164,9 @@ def clean(text: str, found: list[Leaf], formats: list[frozenset[str]], classes:
         gap, body = text[end : leaf.start], text[leaf.start : leaf.end]
         end = leaf.end
         block = BLOCKS[int(klass)]
-        if _in(leaf.path, "fence"):
+        if leaf.path.has("fence"):
             block, body = "code", "" if re.match(r"[ \t]*(?:```|~~~)", body) else body
-        elif _in(leaf.path, "math", "dollars") or any(p in ("env:equation", "env:equation*", "env:align") for p in leaf.path):
+        elif leaf.path.has("math", "dollars", "env:equation", "env:equation*", "env:align"):
             block, body = "formula", re.sub(r"\\(?:begin|end)\{[A-Za-z]+\*?\}", "", body)
         elif marked:
             code = block == "code"
@@ -245,7 +203,7 @@ def _read(model: Labeller, threshold: float, cleaning: bool):
             texts = list(batch["text"])
             rows = []
             for record, text, (found, flags, classes) in zip(batch["record"], texts, label(model, texts)):
-                formats = formats_of(text, found, flags, threshold)
+                formats = formats_of(flags, threshold)
                 cleaned, blocks = clean(text, found, formats, classes) if cleaning else (None, None)
                 kinds = sorted(set().union(*formats)) if formats else []
                 rows.append((record, kinds, cleaned, [{"kind": k, "text": t} for k, t in blocks] if cleaning else None))
@@ -267,7 +225,7 @@ def label_texts(df: DataFrame, record: str, text: str, settings: Settings = Sett
     picked = df.where(F.col(record).isNotNull() & F.col(text).isNotNull()).select(F.col(record).cast("string").alias("record"), F.col(text).alias("text"))
     signed = F.col("text").rlike(SIGNS)
     read = lambda batches: _read(model.value, settings.threshold, cleaning)(batches)
-    labelled = picked.where(signed).mapInPandas(read, CLEANED)
+    labelled = spread(picked.where(signed)).mapInPandas(read, CLEANED)
     if not cleaning:
         return labelled
     plain = F.when(F.trim("text") != "", F.array(F.struct(F.lit("prose").alias("kind"), F.col("text").alias("text")))).otherwise(F.array().cast("array<struct<kind:string,text:string>>"))

@@ -5,13 +5,13 @@ import pytest
 
 from fathomry.llm.bilstm import Labeller, pad
 from fathomry.llm.leaves import WIDTH, leaves, vectors
-from fathomry.llm.markup import FORMATS, clean, formats_of, label, label_texts, targets, trained
+from fathomry.llm.markup import FORMATS, Settings, clean, formats_of, label, label_texts, targets, trained
 from fathomry.llm.markup_samples import samples
 
 
 def read(text):
     found, flags, classes = label(trained(), [text])[0]
-    formats = formats_of(text, found, flags, 0.1)
+    formats = formats_of(flags, Settings().threshold)
     return set().union(*formats) if formats else set(), clean(text, found, formats, classes)
 
 
@@ -91,6 +91,27 @@ def test_whole_texts_are_read():
     assert found[-1].end == len(text) and vectors("a b", leaves("a b")).shape == (1, WIDTH)
 
 
+def test_structures_of_any_depth():
+    deep = "<div>" * 40 + "\n```\n**code**\n</div>\n```\n" + "</div>" * 39 + "\n\nText in the outermost one.\n</div>\nText after it."
+    found = leaves(deep)
+    at = {deep[x.start : x.end]: x.path for x in found}
+    assert at["**code**"].has("fence") and at["**code**"].depth == 41
+    assert at["Text in the outermost one."].names() == ["tag:div"] and at["Text after it."].depth == 0
+    # Very many structures that never close, and closings of none, cost no more than others.
+    long = "<div>\n" * 20_000 + "</p>\n" * 20_000
+    found = leaves(long)
+    assert found[-1].path.depth == 20_000 and np.isfinite(vectors(long, found)).all()
+
+
+def test_the_network_decides():
+    """Without its recurrent layers the model says formats of prose."""
+    prose = ["It holds while a < b and c > 2. The map is a HashMap<u64, Chunk>.", "Use max_file_size and C:\\data\\new.", "It costs $40 a month."]
+    whole = trained()
+    blind = Labeller({k: v if k.startswith("out") else np.zeros_like(v) for k, v in whole.weights.items()}, whole.flags)
+    said = lambda model: [set().union(*formats_of(flags, Settings().threshold)) for _, flags, _ in label(model, prose)]
+    assert said(whole) == [set()] * 3 and said(blind) != [set()] * 3
+
+
 def test_rows(spark):
     rows = [("a", "<b>x</b> y"), ("a", "<b>x</b> y"), ("b", None), (None, "<b>x</b>"), ("c", ""), ("d", "plain")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "chunk_id string, content string, record int, text string")
