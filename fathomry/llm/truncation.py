@@ -1,7 +1,7 @@
 """Text cut off by field limits or broken transfers.
 
-A stack automaton reads each text and says how it ends: what is still open
-(code fences, brackets, quotes, tags, markup), whether the last line is complete
+A stack automaton reads each text from end to end and says how it ends: what is still open
+(code fences, environments, elements, brackets, quotes, inline marks), whether the last line is complete
 for its kind (list item, table row, link, keyword, status or signature line),
 whether the last sentence is, and whether bytes or escapes are broken. Baselines
 per source say which lengths are a field's limit and whether texts of the source
@@ -12,6 +12,7 @@ both together decide.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomry.session import settle
+from fathomry.llm.leaves import TAGS, VOID
+from fathomry.session import settle, spread
 
 # Marks of omission that never end a text by themselves, and those that may.
 CUT_MARK = re.compile(r"\s*[\[(<]\s*(?:cut|truncated|trimmed|clipped|snip|snipped|more|read more|continued|cont\.?|\.\.\.|…)\s*[\])>]\s*$", re.IGNORECASE)
@@ -34,10 +36,27 @@ BARE_MARKER = re.compile(r"^\s*(?:[-*+•>]|\d+[.)]|#{1,6}|={1,6}|\|)\s*$")
 QUOTATION = re.compile(r"^\s*>+ ?")
 LINK = re.compile(r"(?:https?|ftp)://[^\s/]+\.[^\s/]+(?:/\S*)?$|\]\([^()\s]+\)$|\]\]$")
 FIELD = re.compile(r"^(?:\W{0,3})([A-Z][\w-]+(?: [\w-]+){0,2}): +(\S.*)$")
-SIGN_OFF = re.compile(
-    r"^(?:-- ?\S.*|(?:thanks|thank you|regards|best regards|kind regards|best|cheers|sincerely|merci|cordialement|danke|viele gr..e|gracias|saludos)\b[,!]? ?.*)$", re.IGNORECASE
+SIGNATURE = re.compile(r"^--? ?\S")
+# A line such as "Thanks, the team", up to its comma; and the same opening a sentence anywhere else.
+SIGN_OFF = re.compile(r"^([^\W\d_][\w'’-]*(?: [\w'’-]+){0,2}), \S")
+OPENER = re.compile(r"(?:^|(?<=[.!?]\s))([^\W\d_][\w'’-]*(?: [\w'’-]+){0,2}), \S", re.MULTILINE)
+PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+# Elements whose end tag may be left out, and structures in which nothing but their own end is markup.
+OPTIONAL_END = frozenset("p li dt dd tr td th thead tbody tfoot colgroup option html head body".split())
+RAW = frozenset(("tag:pre", "tag:code", "tag:script", "tag:style", "env:verbatim", "env:lstlisting"))
+SIGNS = re.compile(r"[`~<\\(\[{“«\"*$]")
+STRUCTURE = re.compile(
+    r"(?=[\n\t `~<\\()\[\]{}“”«»\"*$:;'-])(?:(?P<blank>\n[ \t]*(?=\n))|(?P<fence>^[ \t]*(?:```+|~~~+))|(?P<comment><!--)|(?P<endcomment>-->)"
+    r"|\\(?P<env>begin|end)\{(?P<name>[A-Za-z]+\*?)\}|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*?)?(?P<void>/?)>"
+    r"|(?P<none>['\"`][()\[\]{}]['\"`]|[\[(]\s*[-+\w.∞]+\s*,\s*[-+\w.∞]+\s*[\])]|[:;]-?[()\[\]])|(?P<code>`+)|(?P<mark>\*\*|~~|\$\$)"
+    r"|(?P<open>[(\[{“«])|(?P<shut>[)\]}”»])|(?P<quote>\"))",
+    re.MULTILINE,
 )
-OPENING = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "„": "“"}
+# A text that ends inside a tag.
+TAG_END = re.compile(r"(?:^|[\s>])<(?:/?[A-Za-z][A-Za-z0-9]*(?:\s+[\w-]+(?:\s*=\s*(?:\"[^\"<>]*\"?|'[^'<>]*'?|[^\s\"'<>]*))?)*\s*/?|!-*)$")
+# What ends a structure: end tags at the end of a line, and ends that stand on their own line.
+END_TAGS = re.compile(r"(?:\s*(?:</[A-Za-z][A-Za-z0-9]*\s*>|-->))+$")
+OWN_END = re.compile(r"^\s*(?:\\end\{[A-Za-z]+\*?\}|\|\}|\}\}|\$\$|\\\])$")
 MAX_SIGN_OFF_WORDS = 6
 MAX_FIELD_WORDS = 6
 SHORT_REMARK_WORDS = 6
@@ -59,32 +78,94 @@ SHOWN = 1 / 3
 BAND = 12
 
 
+class _Stack:
+    """Open structures, innermost last, with their numbers by name."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.count: Counter = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def close(self, name: str) -> None:
+        """Close the innermost one of the name with all it holds; an end without a beginning is only a sign."""
+        while self.count[name]:
+            last = self.names.pop()
+            self.count[last] -= 1
+            if last == name:
+                return
+
+    def toggle(self, name: str, opens: bool, closes: bool) -> None:
+        if self.count[name] and closes:
+            self.close(name)
+        elif not self.count[name] and opens:
+            self.push(name)
+
+    def forget_inline(self) -> None:
+        """Inline marks do not reach beyond their paragraph: left open there, they were only signs."""
+        if any(self.count[m] for m in ("**", "~~")) or any(n[0] == "`" for n in self.names):
+            self.names = [n for n in self.names if n not in ("**", "~~") and n[0] != "`"]
+            self.count = Counter(self.names)
+
+
 def open_structures(text: str) -> list[str]:
-    """What a pushdown automaton has on its stack at the end: fences of the whole text; the rest of its last paragraph."""
-    fence, lines = "", text.split("\n")
-    last_blank = 0
-    for i, line in enumerate(lines):
-        m = FENCE.match(line)
-        if m and (not fence or m.group(1)[:3] == fence):
-            fence = "" if fence else m.group(1)[:3]
-            last_blank = i + 1
-        elif not line.strip():
-            last_blank = i + 1
-    if fence:
-        return ["fence"]
-    stack: list[str] = []
-    paragraph = "\n".join(lines[last_blank:])
-    quotes = 0
-    for k, c in enumerate(paragraph):
-        if c in OPENING and not (c == "“" and stack and stack[-1] == "“"):
-            stack.append(OPENING[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-        elif c == '"':
-            quotes += 1
-        elif c == "<" and k + 1 < len(paragraph) and (paragraph[k + 1].isalpha() or paragraph[k + 1] in "/!"):
-            stack.append(">")
-    return stack + ['"'] * (quotes % 2)
+    """What a pushdown automaton has on its stack at the end of the whole text.
+
+    Code fences, environments, comments and elements (with an end tag that may
+    not be left out) nest and hold across paragraphs, as do brackets and
+    quotations; double stars, tildes and code spans end with their paragraph. Inside
+    fences, comments and verbatim structures only their own end counts.
+    Smileys, intervals, brackets in quotes, ends without a beginning and quote
+    signs that stand at no word's beginning are only signs.
+    """
+    if not SIGNS.search(text):
+        return []
+    stack = _Stack()
+    for m in STRUCTURE.finditer(text):
+        top, kind = stack.names[-1] if stack.names else "", m.lastgroup
+        if top[:5] == "fence":
+            if m["fence"] and m["fence"].strip()[0] == top[6]:
+                stack.close(top)
+        elif top == "<!--":
+            if kind == "endcomment":
+                stack.close(top)
+        elif m["tag"]:
+            name = m["tag"].lower()
+            if name in TAGS and name not in VOID and name not in OPTIONAL_END and not m["void"]:
+                if m["close"]:
+                    stack.close("tag:" + name)
+                elif top not in RAW:
+                    stack.push("tag:" + name)
+        elif m["env"] == "end":
+            stack.close("env:" + m["name"])
+        elif top in RAW or m["none"]:
+            continue
+        elif m["env"]:
+            stack.push("env:" + m["name"])
+        elif m["fence"]:
+            stack.push("fence " + m["fence"].strip()[0])
+        elif kind == "comment":
+            stack.push("<!--")
+        elif kind == "blank":
+            stack.forget_inline()
+        elif m["code"]:
+            stack.toggle(m["code"], True, True)
+        elif top[:1] == "`":
+            continue
+        else:
+            before, after = text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1]
+            if m["mark"]:
+                display = m["mark"] == "$$"
+                stack.toggle(m["mark"], display or bool(after) and not after.isspace(), display or not before.isspace())
+            elif m["open"]:
+                stack.push(m["open"])
+            elif m["shut"]:
+                stack.close(PAIRS[m["shut"]])
+            elif m["quote"]:
+                stack.toggle('"', bool(after) and not after.isspace() and (not before or before.isspace() or before in "([{“«<>=*_-—/"), not before.isspace() or not after.strip())
+    return stack.names + (["<"] if TAG_END.search(text[-2000:]) else [])
 
 
 def _is_sentence_item(lines: list[str]) -> bool:
@@ -121,28 +202,25 @@ def ending(text: str | None) -> tuple[str, bool, bool]:
         bare, soft = ELLIPSIS.sub("", body), True
     broken = bool(LONE_SURROGATE.search(bare)) or (bool(BROKEN.search(bare)) and not bare.endswith("\\\\") and not re.search(r"\d%$|\s&$", bare))
     line = bare.rsplit("\n", 1)[-1]
+    # What is open decides, however complete the last line looks.
+    if open_structures(bare):
+        return "open", marked or soft, broken
     if soft:
         if len(line.split()) <= SHORT_REMARK_WORDS and line[:1].isupper() and "." not in line:
             return "remark", False, broken
         marked = True
-    stack = open_structures(bare)
-    if "fence" in stack:
-        return "open", marked, broken
-    if FENCE.match(line):
+    if FENCE.match(line) or OWN_END.match(line) or not END_TAGS.sub("", line).strip():
         return "complete", marked, broken
     if BARE_MARKER.match(line) and not re.match(r"^\s*[=|]", line):
         return "open", marked, broken
-    stripped = line.rstrip(CLOSERS)
-    terminated = bool(TERMINATOR.search(stripped)) and not re.match(r"^\s*\d+\.$", stripped)
+    stripped = END_TAGS.sub("", line).rstrip(CLOSERS)
     if line.lstrip().startswith("|"):
         return ("complete" if line.endswith("|") and line.count("|") > 1 else "open"), marked, broken
     heading = re.match(r"^(={2,6})(.*)$", line)
     if heading:
         return ("complete" if line.endswith(heading.group(1)) and len(line) > 2 * len(heading.group(1)) else "open"), marked, broken
-    if terminated:
+    if TERMINATOR.search(stripped) and not re.match(r"^\s*\d+\.$", stripped):
         return "complete", marked, broken
-    if stack:
-        return "open", marked, broken
     if LINK.search(line):
         return "complete", marked, broken
     if re.match(r"^#{1,6} ", line) or QUOTATION.match(line) or line.endswith((",", ";", ":", "-", "–")):
@@ -152,12 +230,31 @@ def ending(text: str | None) -> tuple[str, bool, bool]:
     field = FIELD.match(line)
     if field and len(field.group(1)) > 1 and len(field.group(2).split()) <= MAX_FIELD_WORDS:
         return "complete", marked, broken
-    if SIGN_OFF.match(line) and len(line.split()) <= MAX_SIGN_OFF_WORDS and "\n" in bare:
+    if SIGNATURE.match(line) and len(line.split()) <= MAX_SIGN_OFF_WORDS and "\n" in bare or sign_off(bare):
         return "complete", marked, broken
     return "bare", marked, broken
 
 
-ENDINGS = "record long, source string, kind string, marked boolean, broken boolean, sentence boolean, chars int, bytes int, dangling boolean, last string"
+def sign_off(body: str) -> str | None:
+    """The opening word of a last line that has the form of a sign-off.
+
+    Such a line is short, stands alone after a finished line and begins with
+    one to three words and a comma. Sentences begin so too: how a line's opening
+    is used in all texts tells the two apart (``sign_offs``).
+    """
+    head, _, line = body.rpartition("\n")
+    found = SIGN_OFF.match(line)
+    if not found or len(line.split()) > MAX_SIGN_OFF_WORDS or not line[0].isupper() or not TERMINATOR.search(head.rstrip().rstrip(CLOSERS)):
+        return None
+    return opening(found.group(1))
+
+
+def opening(words: str) -> str:
+    """The first word, in lower case."""
+    return words.split(" ", 1)[0].lower()
+
+
+ENDINGS = "record long, source string, kind string, marked boolean, broken boolean, sentence boolean, chars int, bytes int, dangling boolean, last string, closing string, openers array<string>"
 
 
 def dangling(text: str) -> tuple[bool, str | None]:
@@ -176,14 +273,16 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             body = (text or "").rstrip()
             sentence = bool(TERMINATOR.search(body.rstrip(CLOSERS)))
             hangs, last = dangling(text) if kind == "bare" and not marked else (kind in ("complete", "remark") and not marked and text.split()[-1].lower() in FUNCTION_WORDS, None)
-            rows.append((record, source, kind, marked, broken, sentence, len(text or ""), len((text or "").encode("utf-8", "surrogatepass")), hangs, last))
+            closing = sign_off(body) if kind == "complete" and not sentence else None
+            openers = sorted({opening(x) for x in OPENER.findall(body[: body.rfind("\n") + 1] if closing else body)})
+            rows.append((record, source, kind, marked, broken, sentence, len(text or ""), len((text or "").encode("utf-8", "surrogatepass")), hangs, last, closing, openers))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENDINGS.split(", ")])
 
 
 def endings(df: DataFrame, record: str, text: str, source: str) -> DataFrame:
     """One row per record with a non-null id: how its whole text ends (``ENDINGS``)."""
     picked = df.where(F.col(record).isNotNull()).select(F.col(record).cast("long").alias("record"), F.col(source).alias("source"), F.col(text).alias("text"))
-    return picked.mapInPandas(_read, ENDINGS)
+    return spread(picked).mapInPandas(_read, ENDINGS)
 
 
 def source_baselines(ends: DataFrame, least: int = 3, share: float = 0.02) -> DataFrame:
@@ -241,6 +340,15 @@ def at_limits(ends: DataFrame) -> DataFrame:
     return joined.select("e.*", exact.alias("exact"), at_limit.alias("at_limit"))
 
 
+def sign_offs(ends: DataFrame) -> DataFrame:
+    """``closing``: openings of last lines that more texts end with than begin a sentence or line with elsewhere.
+
+    Counts cover all texts; openings are merged where texts are read.
+    """
+    used = ends.select(F.explode(F.concat(F.array_compact(F.array(F.when(F.col("closing").isNotNull(), F.struct("closing", F.lit(1).alias("n"))))), F.transform("openers", lambda o: F.struct(o.alias("closing"), F.lit(-1).alias("n"))))).alias("x"))
+    return used.groupBy(F.col("x.closing").alias("closing")).agg(F.sum("x.n").alias("more")).where(F.col("more") > 0).select("closing")
+
+
 def word_parts(ends: DataFrame, texts: DataFrame) -> DataFrame:
     """``last``: the last words of ``ends`` that no text of ``texts`` has inside, while a longer word inside a text begins with them."""
     # Marks of omission go first: the word before them may be cut itself.
@@ -280,7 +388,11 @@ def truncated(df: DataFrame, record: str = "doc_id", text: str = "text", source:
     below its limit mostly end without terminators (``terse_sources``), a bare end below the
     limit says nothing unless it is inside a word, at a function word or at a comma.
     """
-    ends = at_limits(settle(endings(df, record, text, source)))
+    read = settle(endings(df, record, text, source))
+    # A last line that only looks like a sign-off is the beginning of a sentence.
+    signed = read.join(sign_offs(read).withColumn("signed", F.lit(True)), "closing", "left")
+    begun = F.col("closing").isNotNull() & F.col("signed").isNull()
+    ends = at_limits(signed.withColumn("kind", F.when(begun, "bare").otherwise(F.col("kind"))).drop("closing", "openers", "signed"))
     # Parts of words only make a source less terse: they are looked up where it could be.
     could = terse_sources(ends)
     if could.isEmpty():

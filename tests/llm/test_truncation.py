@@ -7,10 +7,14 @@ from fathomry.llm.truncation import ending, source_baselines, endings, truncated
 COMPLETE = [
     "All done.", "Is it?", 'He said "yes."', "See (the note above.)", "List:\n\n- store the snapshot", "```\nload --x 1\n```", "| a | 3 |", "Text.\n\nNext: https://docs.example/label/writer",
     "Text.\n\nKeywords: chunk, document, bucket", "Text.\n\nStatus: full", "Text.\n\nThanks, the platform team", "Text.\n\n-- quality docs", "See [the page](a/b.md)", "== Title ==", "Fin。", "1. load it\n2. drop it", "Text.\n\n* One.\n* Two.",
+    "It holds in [0, 1) and (see the note) :-( still.", 'The 5" disk is full.', "<p>One.\n<p>Two.", "<div><p>Done.</p></div>", "Say **this**.", "The call f(x[0]) is `a(` here.", "Two ** three, and 2 * 3.", "a) One.\nb) Two.",
+    "A **mark left open\n\nin another paragraph.", "\\begin{itemize}\n\\item one.\n\\end{itemize}", "The '(' sign is kept.", 'He said "one.\n\n"And two."', "{| class=x\n| a\n|}", "If a <b we stop.",
     "* One thing happened.\n* Another thing was.\n\n- monitor the writer", "1. One is done.\n2. Two is done.\n\n- pin it",
 ]
 CUT = [
     "If the filename is slow, index the batch and check the man", "It grew by", "A sentence, and", "The list:\n\n1. All good.\n2.", "```\nload --docu", "Text.\n\n| status | 1", "== Ranki", "Text.\n\n# Rank", "> The reader and the l", "Broken char s" + chr(0xFFFD),
+    "<div><p>Hello world.", 'He wrote "half.', "He said (see the note.\n\nThen more text.", "\\begin{itemize}\n\\item one.", "A [link to.\n\n- item", "It is **bold.", "Run `this.", "{{Infobox\n| a = b.", "<!-- a note.\n\nStatus: full", "Text. <a href=\"x",
+    "```\n)\n```\nThen (open.", "$$ a + b.", "\\begin{verbatim}\n\\end{other} x.",
     "Escape \\u00", "Entity &am", "Open (bracket here", "* One thing happened.\n* Another thing was", "Release.\n\n* The quiet log was renamed at the", "1. It is done.\n2. It", "search: The queue grew by", "Mark after a cut wor [cut]", "and the shard was expe…", "We monitor the artifact before the second dashboar...", "Q: Can we load the seg",
 ]
 
@@ -34,6 +38,13 @@ def test_marks_and_remarks():
     assert ending("x" * 500_000)[0] == "bare"
 
 
+def test_sign_offs_are_told_from_openings(spark):
+    """A last line that begins as sentences do elsewhere is the beginning of one."""
+    whole = [(i, f"The {NOUNS[i]} was moved. Also, it was checked.\n\nGreetings, the {NOUNS[i + 1]} team", "s") for i in range(9)]
+    cut = [(100 + i, f"The {NOUNS[i]} was moved.\n\nAlso, the {NOUNS[i + 2]}", "t") for i in range(5)]
+    assert sorted(r.record for r in truncated(frame(spark, whole + cut)).where("truncated").collect()) == [100, 101, 102, 103, 104]
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*r, "k", True) for r in rows], "doc_id long, text string, source string, kind string, marked boolean")
 
