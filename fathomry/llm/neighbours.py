@@ -1,11 +1,12 @@
 """Most similar vectors for every vector, by a permutation index with pivot inverted files.
 
-A vector is represented by its pivots in order of nearness. It is posted in the
-inverted file of its nearest pivot and looks for its neighbours in the files of
-its ``probes`` nearest pivots. Within a file, entries are ranked by the footrule
-distance between the permutations of the pivots, with places taken in quarters,
-and the best share of them (``rerank``) by their cosine. Files of pivots that lie
-close together share a shelf, so that a query is sent once for all it probes there.
+A vector is represented by its pivots in order of nearness, and posted in the
+inverted file of the first of them. A query ranks the files by footrule distance:
+between its own permutation and the entries' prefix of one pivot, that is the
+place of the file's pivot in the query's order, the same for all of a file's
+entries. The entries of its ``probes`` nearest files are reranked by cosine, all
+of them. Files of pivots that lie close together share a shelf, so that a query is
+sent once for all it looks into there.
 
 The pivots are a bounded random sample of the vectors; every vector is posted
 and every vector is a query. Their number grows with the square root of the
@@ -28,42 +29,44 @@ from fathomry.session import settle
 
 # The pivots are sent to every task: at most so many, whatever the collection's size.
 MAX_PIVOTS = 8192
-# Files lie on shelves of at most so many, and a shelf is cut into blocks of about so many entries and queries.
-SHELF = 24
-BLOCK = 32_768
-# Cells of one distance matrix.
+# A shelf holds about so many entries, and is cut into blocks of about so many entries and queries.
+BLOCK = 65_536
+# A query looks into files of about so many entries at least.
+LEAST = 4096
+# Cells of one block of cosines.
 CELLS = 2_000_000
 # The sample that bounds a query's k-th best cosine from below: so many vectors, or one in so many where there are fewer.
 SAMPLE, ONE_IN = 2048, 16
-# The pivots whose permutation the footrule distance compares, and the classes of their places.
-RANKED = 64
-CLASSES = 4
 
 
 @dataclass(frozen=True)
 class Index:
     """``pivots``: unit vectors, one a row, those of one shelf next to each other; ``probes``: files each query looks into.
 
-    ``sample``: more of the collection's vectors. A query's k-th best cosine is
-    no less than that among them, which rules most entries out beforehand.
+    ``starts``: each shelf's first pivot. ``sample``: more of the collection's
+    vectors. A query's k-th best cosine is no less than that among them, which
+    rules most entries out beforehand.
     """
 
     pivots: np.ndarray
     probes: int
-    shelves: np.ndarray
-    ranked: np.ndarray
+    starts: np.ndarray
     sample: np.ndarray
 
+    def shelf(self, file: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, file, "right").astype(np.int32) - 1
+
 
 def default_pivots(n: int) -> int:
-    return max(8, min(MAX_PIVOTS, round(0.6 * math.sqrt(n))))
+    return max(8, min(MAX_PIVOTS, round(2.4 * math.sqrt(n))))
 
 
-def default_probes(pivots: int) -> int:
-    return max(1, min(pivots, round(1.75 * math.sqrt(pivots))))
+def default_probes(pivots: int, n: int) -> int:
+    """Files to look into: enough for about ``LEAST`` entries, so that a small collection is searched whole."""
+    return max(1, min(pivots, max(round(2.4 * math.sqrt(pivots)), math.ceil(pivots * LEAST / max(1, n)))))
 
 
-def shelve(pivots: np.ndarray, most: int = SHELF) -> list[np.ndarray]:
+def shelve(pivots: np.ndarray, most: int) -> list[np.ndarray]:
     """Pivots in groups of at most ``most`` that lie close together: halved along the widest direction until small enough."""
     done, todo = [], [np.arange(len(pivots))]
     while todo:
@@ -85,12 +88,12 @@ def fit(vectors: DataFrame, n: int, pivots: int | None = None, probes: int | Non
     rows = vectors.orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(max(count, sample)).select("packed").collect()
     if not rows:
         nothing = np.empty((0, 0), np.float32)
-        return Index(nothing, 0, np.empty(0, np.int32), nothing, nothing)
+        return Index(nothing, 0, np.empty(0, np.int64), nothing)
     drawn = unit(np.stack([np.frombuffer(r.packed, np.float32) for r in rows]))
     chosen = drawn[:count]
-    shelves = shelve(chosen)
-    at = np.repeat(np.arange(len(shelves), dtype=np.int32), [len(x) for x in shelves])
-    return Index(chosen[np.concatenate(shelves)], probes or default_probes(len(chosen)), at, chosen[:RANKED].T.copy(), drawn[:sample])
+    shelves = shelve(chosen, max(1, math.ceil(len(chosen) / math.ceil(n / BLOCK))))
+    starts = np.cumsum([0] + [len(x) for x in shelves[:-1]])
+    return Index(chosen[np.concatenate(shelves)], probes or default_probes(len(chosen), n), starts, drawn[:sample])
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -99,47 +102,32 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return (wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def place_classes(nearness: np.ndarray) -> np.ndarray:
-    """Thermometer code of the pivots' places in quarters.
-
-    The footrule distance of two permutations whose places are grouped into
-    classes is the number of bits in which these codes differ; as all codes have
-    the same number of ones, it falls as the codes' dot product rises.
-    """
-    n, p = nearness.shape
-    places = np.empty((n, p), np.int32)
-    np.put_along_axis(places, np.argsort(-nearness, axis=1, kind="stable"), np.arange(p, dtype=np.int32)[None, :], axis=1)
-    classes = places * CLASSES // p
-    return np.concatenate([classes < c for c in range(1, CLASSES)], axis=1).astype(np.float32)
-
-
-def _nearest(index: Index, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The unit vectors of a batch, each one's nearest file, and a mask of the files it probes, by shelf."""
-    rows = unit(np.frombuffer(b"".join(batch["packed"]), np.float32).reshape(len(batch), -1))
-    near = rows @ index.pivots.T
-    probes = min(index.probes, near.shape[1])
-    probed = np.zeros(near.shape, bool)
-    np.put_along_axis(probed, np.argpartition(-near, probes - 1, axis=1)[:, :probes], True, axis=1)
-    starts = np.flatnonzero(np.r_[True, np.diff(index.shelves) > 0])
-    bits = np.int64(1) << (np.arange(near.shape[1]) - starts[index.shelves])
-    return rows, near.argmax(axis=1), np.add.reduceat(probed * bits, starts, axis=1)
+def _nearest(index: Index, batch: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Part by part of a batch: unit vectors, each one's file, the cosine its last probed pivot has, and the shelves it looks into."""
+    whole = np.frombuffer(b"".join(batch["packed"]), np.float32).reshape(len(batch), -1)
+    step = max(256, CELLS // len(index.pivots))
+    for low in range(0, len(whole), step):
+        rows = unit(whole[low : low + step])
+        near = rows @ index.pivots.T
+        probes = min(index.probes, near.shape[1])
+        reach = np.partition(near, near.shape[1] - probes, axis=1)[:, near.shape[1] - probes]
+        yield slice(low, low + len(rows)), rows, near.argmax(axis=1), reach, np.maximum.reduceat(near, index.starts, axis=1) >= reach[:, None]
 
 
 def _sizes(index: Index):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shelves = int(index.shelves[-1]) + 1
+        shelves = len(index.starts)
         entries, queries = np.zeros(shelves, np.int64), np.zeros(shelves, np.int64)
         for batch in batches:
-            if len(batch):
-                _, home, masks = _nearest(index, batch)
-                entries += np.bincount(index.shelves[home], minlength=shelves)
-                queries += (masks > 0).sum(axis=0)
+            for _, _, home, _, looks in _nearest(index, batch) if len(batch) else ():
+                entries += np.bincount(index.shelf(home), minlength=shelves)
+                queries += looks.sum(axis=0)
         yield pd.DataFrame({"shelf": np.arange(shelves, dtype=np.int32), "entries": entries, "queries": queries})
 
     return each
 
 
-POSTED = "shelf int, entry_block int, query_block int, files long, file int, num long, least float, packed binary"
+POSTED = "shelf int, entry_block int, query_block int, file int, num long, reach float, least float, packed binary"
 
 
 def _least(index: Index, rows: np.ndarray, k: int) -> np.ndarray:
@@ -158,37 +146,22 @@ def _post(index: Index, k: int, entry_blocks: np.ndarray, query_blocks: np.ndarr
     of entries; both numbers are 1 for all but the largest shelves.
     """
 
-    def copies(shelf: np.ndarray, own: np.ndarray, other: np.ndarray, num: np.ndarray, least: np.ndarray, packed: np.ndarray, files: np.ndarray, file: np.ndarray) -> pd.DataFrame:
+    def copies(shelf: np.ndarray, own: np.ndarray, other: np.ndarray, file: np.ndarray, **values: np.ndarray) -> pd.DataFrame:
         times = other[shelf]
         at = np.repeat(np.arange(len(shelf)), times)
         across = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
-        mine = ((num * 0x9E3779B1 >> 7) % own[shelf]).astype(np.int32)[at]
-        entry = file >= 0
-        return pd.DataFrame(
-            {
-                "shelf": shelf[at],
-                "entry_block": np.where(entry[at], mine, across),
-                "query_block": np.where(entry[at], across, mine),
-                "files": files[at],
-                "file": file[at],
-                "num": num[at],
-                "least": least[at],
-                "packed": packed[at],
-            }
-        )
+        mine = ((values["num"] * 0x9E3779B1 >> 7) % own[shelf]).astype(np.int32)[at]
+        entry = file[at] >= 0
+        blocks = {"shelf": shelf[at], "entry_block": np.where(entry, mine, across), "query_block": np.where(entry, across, mine), "file": file[at]}
+        return pd.DataFrame(blocks | {name: value[at] for name, value in values.items()})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            rows, home, masks = _nearest(index, batch)
-            packed = np.array([r.tobytes() for r in rows], dtype=object)
-            num, least = batch["num"].to_numpy(np.int64), _least(index, rows, k)
-            yield copies(index.shelves[home], entry_blocks, query_blocks, num, least, packed, np.zeros(len(num), np.int64), home.astype(np.int32))
-            for shelf in range(masks.shape[1]):
-                q = np.flatnonzero(masks[:, shelf])
-                if len(q):
-                    yield copies(np.full(len(q), shelf, np.int32), query_blocks, entry_blocks, num[q], least[q], packed[q], masks[q, shelf], np.full(len(q), -1, np.int32))
+            for part, rows, home, reach, looks in _nearest(index, batch) if len(batch) else ():
+                values = {"num": batch["num"].to_numpy(np.int64)[part], "reach": reach, "least": _least(index, rows, k), "packed": np.array([r.tobytes() for r in rows], dtype=object)}
+                yield copies(index.shelf(home), entry_blocks, query_blocks, home.astype(np.int32), **values)
+                q, shelf = np.nonzero(looks)
+                yield copies(shelf.astype(np.int32), query_blocks, entry_blocks, np.full(len(q), -1, np.int32), **{name: value[q] for name, value in values.items()})
 
     return each
 
@@ -213,68 +186,64 @@ def _spread(cosine: np.ndarray, name: np.ndarray, r: np.ndarray, n: int) -> tupl
     return found, which
 
 
-# The footrule distance that the best share of a file stays within is taken from every so manieth entry.
-SAMPLED = 4
-
-
-def _search(index: Index, k: int, rerank: float):
-    """Per query, the k best by cosine of each probed file's best share by footrule distance.
-
-    Cosines come first, as one matrix product; distances are then worked out for
-    the entries whose cosine could still matter, which gives the same result as
-    ranking all of them.
-    """
+def _search(index: Index, k: int):
+    """Per query, the k best by cosine of the files it looks into."""
 
     def each(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"num": np.empty(0, np.int64), "other": np.empty(0, np.int64), "cosine": np.empty(0, np.float32)})
-        file, num, mask = rows["file"].to_numpy(), rows["num"].to_numpy(np.int64), rows["files"].to_numpy(np.int64)
+        file, num = rows["file"].to_numpy(), rows["num"].to_numpy(np.int64)
         asked = file < 0
         if not asked.any() or asked.all():
             return none
         whole = np.frombuffer(b"".join(rows["packed"]), np.float32).reshape(len(rows), -1)
-        codes = place_classes(whole @ index.ranked)
-        q = np.flatnonzero(asked)
-        cosines = np.repeat(rows["least"].to_numpy(np.float32)[q, None], k, axis=1)
-        names = np.full((len(q), k), -1, np.int64)
-        first = np.flatnonzero(index.shelves == index.shelves[file.max()])[0]
+        entries = {}
         for f in np.unique(file[~asked]):
             e = np.flatnonzero(file == f)
             e = e[np.argsort(num[e], kind="stable")]
-            entries, coded, known = whole[e], codes[e], num[e]
-            keep = max(8 * k, math.ceil(rerank * len(e)))
-            seen = len(e[::SAMPLED])
-            cut = max(0, seen - math.ceil(keep * seen / len(e)))
-            looking = np.flatnonzero(mask[q] >> np.int64(f - first) & 1)
-            step = max(1, CELLS // len(e))
-            for start in range(0, len(looking), step):
-                at = looking[start : start + step]
-                cosine = whole[q[at]] @ entries.T
-                own = np.minimum(np.searchsorted(known, num[q[at]]), len(e) - 1)
-                mine = np.flatnonzero(known[own] == num[q[at]])
-                cosine[mine, own[mine]] = -2.0
-                r, c = np.divmod(np.flatnonzero((cosine > cosines[at].min(axis=1)[:, None]).ravel()), len(e))
-                if not len(r):
-                    continue
-                if keep < len(e):
-                    bound = np.partition(codes[q[at]] @ coded[::SAMPLED].T, cut, axis=1)[:, cut]
-                    near = np.concatenate([np.einsum("ij,ij->i", codes[q[at[i]]], coded[j]) for i, j in zip(np.array_split(r, len(r) // 20_000 + 1), np.array_split(c, len(r) // 20_000 + 1))])
-                    good = near >= bound[r]
-                    r, c = r[good], c[good]
-                found, which = _spread(cosine[r, c], known[c], r, len(at))
-                cosines[at], names[at] = _best(np.hstack([cosines[at], found]), np.hstack([names[at], which]), k)
+            entries[int(f)] = (whole[e].T.copy(), num[e])
+        files = np.array(list(entries))
+        q = np.flatnonzero(asked)
+        cosines = np.repeat(rows["least"].to_numpy(np.float32)[q, None], k, axis=1)
+        names = np.full((len(q), k), -1, np.int64)
+        # A little more, as these products may round otherwise than those the reach was taken from.
+        reach = rows["reach"].to_numpy(np.float32)[q] - np.float32(1e-6)
+        for low in range(0, len(q), max(1, CELLS // len(files))):
+            here = np.arange(low, min(len(q), low + max(1, CELLS // len(files))))
+            probed = ((whole[q[here]] @ index.pivots[files].T) >= reach[here, None]).T.copy()
+            for f, looks in zip(files, probed):
+                vectors, known = entries[int(f)]
+                looking = here[looks]
+                for start in range(0, len(looking), max(1, CELLS // len(known))):
+                    at = looking[start : start + max(1, CELLS // len(known))]
+                    cosine = whole[q[at]] @ vectors
+                    own = np.minimum(np.searchsorted(known, num[q[at]]), len(known) - 1)
+                    mine = np.flatnonzero(known[own] == num[q[at]])
+                    cosine[mine, own[mine]] = -2.0
+                    r, c = np.divmod(np.flatnonzero((cosine > cosines[at].min(axis=1)[:, None]).ravel()), len(known))
+                    if len(r):
+                        # Only queries that something better was found for are ranked again.
+                        got, r = np.unique(r, return_inverse=True)
+                        found, which = _spread(cosine[got[r], c], known[c], r, len(got))
+                        at = at[got]
+                        cosines[at], names[at] = _best(np.hstack([cosines[at], found]), np.hstack([names[at], which]), k)
         r, c = np.nonzero(names >= 0)
         return pd.DataFrame({"num": num[q][r], "other": names[r, c], "cosine": cosines[r, c]})
 
     return each
 
 
-def search(vectors: DataFrame, k: int, index: Index, rerank: float) -> DataFrame:
+def search(vectors: DataFrame, k: int, index: Index) -> DataFrame:
     """``num, other, cosine``: the k best others the index finds for each of the distinct ``vectors`` (``num, packed``)."""
     counted = vectors.mapInPandas(_sizes(index), "shelf int, entries long, queries long").groupBy("shelf").agg(F.sum("entries").alias("e"), F.sum("queries").alias("q"))
     sizes = {r.shelf: (r.e, r.q) for r in counted.collect()}
-    blocks = [np.array([max(1, math.ceil(sizes.get(s, (0, 0))[i] / BLOCK)) for s in range(int(index.shelves[-1]) + 1)]) for i in (0, 1)]
-    posted = vectors.mapInPandas(_post(index, k, *blocks), POSTED)
-    found = posted.groupBy("shelf", "entry_block", "query_block").applyInPandas(_search(index, k, rerank), FOUND)
+    shelves = len(index.starts)
+    blocks = [np.array([max(1, math.ceil(sizes.get(s, (0, 0))[i] / BLOCK)) for s in range(shelves)]) for i in (0, 1)]
+    # Few shelves would leave cores idle: their queries are cut finer.
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    while (blocks[0] * blocks[1]).sum() < tasks and blocks[1].max() < tasks:
+        blocks[1] = blocks[1] + 1
+    posted = vectors.mapInPandas(_post(index, k, *blocks), POSTED).repartition(int(max(tasks, min((blocks[0] * blocks[1]).sum() * 2, 20_000))), "shelf", "entry_block", "query_block")
+    found = posted.groupBy("shelf", "entry_block", "query_block").applyInPandas(_search(index, k), FOUND)
     # A query has at most k rows of each block it met, so its groups are small.
     near = found.groupBy("num").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k).alias("near"))
     return near.select("num", F.explode("near").alias("n")).select("num", "n.other", (-F.col("n.far")).cast("double").alias("cosine"))
@@ -298,7 +267,7 @@ def _pack(dimension: int):
 
 def most_similar(
     vectors: DataFrame, k: int = 10, id_col: str = "chunk_id", vector: str = "vector", dimension: int = 64, arrived: str | None = "arrived_at",
-    pivots: int | None = None, probes: int | None = None, rerank: float = 0.4, seed: int = 5,
+    pivots: int | None = None, probes: int | None = None, seed: int = 5,
 ) -> DataFrame:
     """``item, other, cosine``: the k most similar other records of every record, by cosine.
 
@@ -319,7 +288,7 @@ def most_similar(
     numbered = classes.select(F.monotonically_increasing_id().alias("num"), "item", "packed")
     names = numbered.select("num", "item")
     near = (
-        search(numbered.select("num", "packed"), k, index, rerank)
+        search(numbered.select("num", "packed"), k, index)
         .join(names, "num")
         .join(names.select(F.col("num").alias("other"), F.col("item").alias("name")), "other")
         .select("item", F.col("name").alias("other"), "cosine")

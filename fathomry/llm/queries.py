@@ -11,7 +11,8 @@ from fathomry.llm.markup import label_texts
 from fathomry.llm.mixing import mix, mix_report, plan_shares, with_tokens
 from fathomry.llm.neighbours import most_similar
 from fathomry.llm.truncation import truncated, truncation_report
-from fathomry.functions.text import preview, terms
+from fathomry.functions.text import preview, terms, word_count
+from fathomry.operators.vector import vector_candidates
 from fathomry.plans.registry import Registry
 from fathomry.session import settle, table
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def p1_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("place", best).where("place <= 5").select(F.col("record").alias("chunk_id"), "term", "tf", "df", F.round("score", 6).alias("score"), "place")
 
 
-@registry.query("p1_keyword_agreement")
+@registry.query("p1_keyword_agreement", oracle.P1_KEYWORD_AGREEMENT)
 def p1_keyword_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recorded keyword hit next to the sum of its query's term weights."""
     scored = distinctive_terms(table(spark, sf_dir, "chunks"), "chunk_id", "content", "arrived_at")
@@ -43,7 +44,8 @@ def p1_keyword_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = hits.withColumn("term", F.explode_outer(F.array_distinct(terms(F.col("query_text")))))
     joined = asked.join(scored.select(F.col("record").alias("chunk_id"), "term", "score"), ["chunk_id", "term"], "left")
     summed = joined.groupBy("query_id", "query_text", "chunk_id", "raw_score").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("term_score"))
-    return summed.withColumn("agrees", F.abs(F.col("raw_score") - F.col("term_score")) <= 0.01 * F.greatest(F.abs("raw_score"), F.lit(0.01)))
+    agrees = F.abs(F.col("raw_score") - F.col("term_score")) <= 0.01 * F.greatest(F.abs("raw_score"), F.lit(0.01))
+    return summed.select("query_id", "query_text", "chunk_id", "raw_score", F.round("term_score", 6).alias("term_score"), agrees.alias("agrees"))
 
 
 def neighbours_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,18 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours_of_all(spark, sf_dir).select(F.col("item").alias("chunk_id"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
 
 
+@registry.query("p3_recall", oracle.P3_RECALL)
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the embeddings whose id is divisible by 50: whether the index finds nine tenths of their ten nearest among all, as an exact search has them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    # One more, as the record itself comes first.
+    exact = vector_candidates(asked, vectors, "vec_id", "embedding", 11).where("query_id <> record").where("vector_rank <= 11").select(F.col("query_id").alias("item"), F.col("record").alias("other"))
+    found = most_similar(vectors.withColumn("at", F.lit(0)), id_col="vec_id", vector="embedding", arrived="at").select("item", "other", F.lit(True).alias("found"))
+    judged = exact.join(found, ["item", "other"], "left")
+    return judged.agg(F.count_distinct("item").alias("n_queries"), (F.count_if("found") >= F.lit(0.9) * F.count(F.lit(1))).alias("reached"))
+
+
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunking_configs"))
 
@@ -70,6 +84,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(spark, sf_dir).where("piece = 0").select(F.col("record").alias("chunk_id"))
 
 
+@registry.query("p4_invariants", oracle.P4_INVARIANTS)
+def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split chunk: its words without overlaps, and whether every piece keeps the limit and each but the first the overlap, as far as there is text for one."""
+    found = pieces(spark, sf_dir).groupBy(F.col("record").alias("chunk_id"), "pieces").agg(
+        F.sum(F.col("token_count") - F.col("overlap_count")).alias("words"), F.max("token_count").alias("most"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("piece") > 0, F.col("overlap_count"))).alias("overlap"),
+    )
+    configs = table(spark, sf_dir, "chunks").select("chunk_id", "config_name", word_count(F.col("content")).alias("words")).distinct().join(table(spark, sf_dir, "chunking_configs"), "config_name")
+    limits = configs.groupBy("chunk_id", "words").agg(F.max("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("overlap_tokens"))
+    joined = found.join(limits, ["chunk_id", "words"])
+    return joined.select("chunk_id", "words", (F.col("most") <= F.col("max_tokens")).alias("within"), (F.col("n") == F.col("pieces")).alias("complete"), (F.col("overlap") == F.col("overlap_tokens")).alias("overlaps")).distinct()
+
+
 @registry.query("p4_pieces")
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(spark, sf_dir).select(

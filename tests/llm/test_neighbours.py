@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from fathomry.llm.neighbours import default_pivots, default_probes, most_similar, place_classes, shelve, unit
+from fathomry.llm.neighbours import default_pivots, default_probes, most_similar, shelve, unit
 
 SCHEMA = "chunk_id string, vector array<float>, arrived_at int, item string, num int, packed string"
 
@@ -29,7 +29,7 @@ def cloud():
 
 def test_recall(spark, cloud):
     rows = [(f"c{i:05}", v.tolist(), 1) for i, v in enumerate(cloud)]
-    got = neighbours(frame(spark, rows), k=10)
+    got = neighbours(frame(spark, rows), k=10, probes=20)
     x = unit(cloud).astype(float)
     s = x @ x.T
     np.fill_diagonal(s, -2)
@@ -42,13 +42,24 @@ def test_recall(spark, cloud):
 
 def test_exact_with_all_files(spark, cloud):
     rows = [(f"c{i:05}", v.tolist(), 1) for i, v in enumerate(cloud[:300])]
-    got = neighbours(frame(spark, rows), k=5, pivots=10, probes=10, rerank=1.0)
+    got = neighbours(frame(spark, rows), k=5, pivots=10, probes=10)
     x = unit(cloud[:300]).astype(float)
     s = x @ x.T
     np.fill_diagonal(s, -2)
     assert all(set(got[f"c{i:05}"]) == {f"c{j:05}" for j in np.argsort(-s[i])[:5]} for i in range(300))
 
 
+def test_many_shelves_and_blocks_give_the_same(spark, cloud, monkeypatch):
+    from fathomry.llm import neighbours as module
+
+    rows = [(f"c{i:05}", v.tolist(), 1) for i, v in enumerate(cloud[:400])]
+    whole = neighbours(frame(spark, rows), k=5, pivots=20, probes=6)
+    monkeypatch.setattr(module, "BLOCK", 60)
+    monkeypatch.setattr(module, "CELLS", 500)
+    cut = neighbours(frame(spark, rows), k=5, pivots=20, probes=6)
+    assert {i: {j: round(c, 5) for j, c in x.items()} for i, x in cut.items()} == {i: {j: round(c, 5) for j, c in x.items()} for i, x in whole.items()}
+
+
 def test_dirty_vectors_and_copies(spark):
     one = [1.0] + [0.0] * 7
     two = [0.0, 1.0] + [0.0] * 6
@@ -65,10 +76,6 @@ def test_dirty_vectors_and_copies(spark):
 
 
 def test_parts():
-    codes = place_classes(np.array([[0.9, 0.1, 0.5, 0.3], [0.1, 0.9, 0.3, 0.5]], np.float32))
-    assert codes.sum(axis=1).tolist() == [6.0, 6.0]
-    # Footrule of places (0,3,1,2) and (3,0,2,1), which are their own quarters: 3 + 3 + 1 + 1.
-    assert 12 - 2 * float(codes[0] @ codes[1]) == 8
     groups = shelve(np.random.default_rng(0).normal(size=(100, 4)), 24)
     assert sorted(np.concatenate(groups).tolist()) == list(range(100)) and max(map(len, groups)) <= 24
-    assert default_pivots(0) == 8 and default_probes(8) <= 8
+    assert default_pivots(0) == 8 and default_probes(8, 0) == default_probes(8, 100) == 8 and default_probes(1000, 10**6) == 76
