@@ -1,4 +1,4 @@
-"""Command line: ingest, search, eval, ask, feedback, feedback-report and a self-check, over one store folder.
+"""Command line: ingest, search, eval, ask, feedback, its export and report, and a self-check, over one store folder.
 
 Exit codes: 0 fine, 1 an evaluation failed or missed its threshold, 2 bad input, 3 the language model failed.
 """
@@ -12,20 +12,27 @@ import sys
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fathomry.operators import answer, evaluate, feedback
 from fathomry.operators.ingest import Corpus
-from fathomry.operators.search import MODES, search
+from fathomry.operators.search import MODES, run_records, search
 from fathomry.operators.vector import vector_candidates
+from fathomry.session import settle
 from fathomry.sources import jsonl
 from fathomry.sources.files import parse_files, scan_folder
 from fathomry.sources.store import VersionedTable
 
 CONTEXT_WORDS = 3000
 RESULT = "struct<rank:int,chunk_id:string,document_id:string,source_path:string,score:double,preview:string,heading_path:array<string>>"
-EVIDENCE = f"retrieval_run_id string, query_id string, question_text string, search_mode string, top_k int, results array<{RESULT}>, created_at string"
+EVIDENCE = (
+    f"retrieval_run_id string, query_id string, question_text string, search_mode string, top_k int, filters string, results array<{RESULT}>, latency_ms double, "
+    "below_threshold_count long, reason string, created_at string"
+)
+FOUND = (
+    "query_id string, rank int, chunk_id string, document_id string, source_path string, score double, preview string, heading_path array<string>, vector_score double, keyword_score double"
+)
 FEEDBACK = (
     "id string, query_id string, retrieval_run_id string, chunk_id string, document_id string, rating string, note string, search_mode string, rank int, score double, "
     "source_path string, question_text string, created_at string"
@@ -49,29 +56,31 @@ class Store:
         self.feedback = VersionedTable(spark, f"{root}/feedback", FEEDBACK, "id")
 
     def evidence(self) -> DataFrame:
-        return jsonl.read_log(self.spark, f"{self.root}/evidence", EVIDENCE)
+        return jsonl.read_log(self.spark, f"{self.root}/evidence", EVIDENCE, check=True)
 
     def search(self, questions: DataFrame, mode: str, top_k: int, explain: bool = False) -> DataFrame:
         asked = questions.withColumn("vector", self.corpus.embed(F.col("text")))
-        return search(asked, self.corpus.chunks.read(), self.corpus.documents.read(), mode, top_k, self.corpus.vectors.read(), explain=explain)
+        return search(asked, self.corpus.chunks.read(), self.corpus.documents.read(), mode, top_k, self.corpus.vectors.read(), explain=explain, model=(self.corpus.model, self.corpus.dimension))
 
-    def log_run(self, run: str, query: str, text: str, mode: str, top_k: int, rows: list) -> None:
-        results = [(r.rank, r.chunk_id, r.document_id, r.source_path, r.score, r.preview, r.heading_path) for r in rows]
-        jsonl.append_log(self.spark.createDataFrame([(run, query, text, mode, top_k, results, now())], EVIDENCE), f"{self.root}/evidence")
+    def records(self, questions: DataFrame, found: DataFrame, mode: str, top_k: int, latency_ms: float) -> DataFrame:
+        return run_records(questions, found, self.corpus.documents.read(), mode, top_k, latency_ms, now())
 
 
 def one_question(spark: SparkSession, args: argparse.Namespace, query: str) -> DataFrame:
     return spark.createDataFrame([(query, args.text, args.project, args.tag or None, args.source)], "query_id string, text string, project string, tags array<string>, source string")
 
 
-def run_search(store: Store, args: argparse.Namespace) -> tuple[str, str, DataFrame, list]:
-    if not args.text.strip():
-        raise ValueError("an empty question")
-    query, run = new_id("qry"), new_id("rrun")
-    found = store.search(one_question(store.spark, args, query), args.mode, args.top_k, getattr(args, "explain", False))
-    rows = found.orderBy("rank").collect()
-    store.log_run(run, query, args.text, args.mode, args.top_k, rows)
-    return query, run, found, rows
+def run_search(store: Store, args: argparse.Namespace) -> tuple[Row, DataFrame, list]:
+    """The run's record, which is logged, and the results with their explanations."""
+    query, began = new_id("qry"), time.time()
+    asked = one_question(store.spark, args, query).withColumn("retrieval_run_id", F.lit(new_id("rrun")))
+    rows = store.search(asked, args.mode, args.top_k, getattr(args, "explain", False)).orderBy("rank").collect()
+    latency = 1000 * (time.time() - began)
+    found = store.spark.createDataFrame(rows, FOUND + (", reason string" if getattr(args, "explain", False) else ""))
+    record = store.records(asked, found, args.mode, args.top_k, latency)
+    logged = record.withColumnRenamed("completed_at", "created_at")
+    jsonl.append_log(logged, f"{store.root}/evidence")
+    return record.first(), found, rows
 
 
 def cmd_ingest(store: Store, args: argparse.Namespace) -> int:
@@ -81,8 +90,12 @@ def cmd_ingest(store: Store, args: argparse.Namespace) -> int:
 
 
 def cmd_search(store: Store, args: argparse.Namespace) -> int:
-    query, run, _, rows = run_search(store, args)
-    print(f"query {query}  run {run}  {len(rows)} results")
+    record, _, rows = run_search(store, args)
+    print(f"query {record.query_id}  run {record.retrieval_run_id}  mode {args.mode}  filters {record.filters}  {len(rows)} results in {record.latency_ms:.0f} ms")
+    if record.reason == "indexEmpty":
+        print("the index is empty")
+    if record.below_threshold_count:
+        print(f"{record.below_threshold_count} results are below the similarity threshold")
     for r in rows:
         print(f"{r.rank}. {r.score:.4f}  {r.source_path}  {' > '.join(r.heading_path or [])}  {r.chunk_id}\n   {r.preview}")
         if args.explain:
@@ -91,22 +104,37 @@ def cmd_search(store: Store, args: argparse.Namespace) -> int:
 
 
 def cmd_eval(store: Store, args: argparse.Namespace) -> int:
+    run = {
+        "run_id": new_id("evr"), "generated_at": now(), "dataset_path": args.questions, "search_mode": args.mode, "top_k": args.top_k,
+        "embedding_model": {"name": store.corpus.model, "dimension": store.corpus.dimension},
+    }
     questions = jsonl.load_questions(store.spark, args.questions)
-    found = store.search(questions.withColumnRenamed("question_id", "query_id"), args.mode, max(args.top_k, evaluate.LEAST_DEPTH))
-    measured = evaluate.gate(evaluate.metrics(evaluate.judge(questions, found), args.mode), args.fail_below_hit_at_3)
+    depth, began = max(args.top_k, evaluate.LEAST_DEPTH), time.time()
+    asked = questions.withColumnRenamed("question_id", "query_id")
+    try:
+        found = settle(store.search(asked, args.mode, depth))
+    except ValueError as error:
+        # A search that cannot run is a failed run, not one of no hits.
+        if args.report:
+            jsonl.write_record(run | {"status": "failed", "error": str(error), "metrics": {}, "question_results": []}, args.report)
+        print(json.dumps({"run_id": run["run_id"], "status": "failed", "error": str(error)}))
+        return 1
+    latency = 1000 * (time.time() - began) / max(1, questions.count())
+    judged = settle(evaluate.judge(questions, found, store.records(asked, found, args.mode, depth, latency)))
+    row = evaluate.gate(evaluate.metrics(judged, args.mode), args.fail_below_hit_at_3).first()
+    measured = {k: v for k, v in row.asDict().items() if k != "status"}
     if args.report:
-        jsonl.write_report(measured, args.report)
-    row = measured.first()
-    print(json.dumps(row.asDict()))
+        jsonl.write_record(run | {"status": row.status, "metrics": measured}, args.report, question_results=judged.join(questions.select("question_id", F.col("text").alias("question_text")), "question_id").orderBy("question_id"))
+    print(json.dumps({"run_id": run["run_id"], **row.asDict()}))
     return int(row.status != "completed")
 
 
 def cmd_ask(store: Store, args: argparse.Namespace) -> int:
-    query, run, found, _ = run_search(store, args)
-    question = one_question(store.spark, args, query)
+    run, found, _ = run_search(store, args)
+    question = one_question(store.spark, args, run.query_id)
     prompted = answer.prompts(question, answer.context(found, args.mode, CONTEXT_WORDS))
     row = answer.answers(question, found, answer.offline_replies(prompted)).first()
-    record = {"id": new_id("ans"), "retrieval_run_id": run, **row.asDict(recursive=True), "created_at": now()}
+    record = {"id": new_id("ans"), "retrieval_run_id": run.retrieval_run_id, **row.asDict(recursive=True), "created_at": now()}
     os.makedirs(store.root, exist_ok=True)
     with open(f"{store.root}/answers.jsonl", "a", encoding="utf-8") as log:
         log.write(json.dumps(record) + "\n")
@@ -140,7 +168,16 @@ def cmd_report(store: Store, args: argparse.Namespace) -> int:
         "problematicQueries": feedback.problem_queries(items), "frequentlyDownvotedChunks": feedback.downvoted_chunks(items),
         "queriesWithNoGoodResult": feedback.queries_without_good(items), "candidatesForRechunking": feedback.rechunk_candidates(items),
     }
-    print(json.dumps({"id": new_id("fbrep"), "generatedAt": now(), "totalFeedback": items.count(), **{k: [r.asDict() for r in v.limit(args.most).collect()] for k, v in parts.items()}}, indent=2))
+    report = {"id": new_id("fbrep"), "generatedAt": now(), "totalFeedback": items.count(), **{k: [r.asDict() for r in v.limit(args.most).collect()] for k, v in parts.items()}}
+    if args.report:
+        # The file lists every item, the screen none.
+        jsonl.write_record(report, args.report, observations=feedback.observations(items))
+    print(json.dumps(report, indent=2))
+    return 0
+
+
+def cmd_export(store: Store, args: argparse.Namespace) -> int:
+    jsonl.export_feedback(feedback.select_feedback(store.feedback.read(), args.since, args.until, args.rating), args.path)
     return 0
 
 
@@ -195,6 +232,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--note")
     p = add("feedback-report", cmd_report)
     p.add_argument("--most", type=int, default=50, help="rows of each section")
+    p.add_argument("--report", help="file for the report with all observations")
+    p = add("feedback-export", cmd_export, "path")
+    p.add_argument("--since")
+    p.add_argument("--until")
+    p.add_argument("--rating", choices=feedback.RATINGS)
     add("spike", cmd_spike)
     return top
 

@@ -70,3 +70,11 @@ def reciprocal_rank(rank: Column) -> Column:
 
 def hit_at(rank: Column, k: int) -> Column:
     return F.coalesce(rank <= k, F.lit(False))
+
+
+def filter_text(project: Column, tags: Column, source: Column) -> Column:
+    """A filter in words: its parts, two blanks between them, or ``(none)``."""
+    named = F.concat_ws(
+        "  ", F.concat(F.lit("project="), project), F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.concat(F.lit("tag="), t)), F.concat(F.lit("source="), source)
+    )
+    return F.when(named == "", F.lit("(none)")).otherwise(named)

@@ -60,12 +60,14 @@ def tagged_ids(message: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(message, F.lit(r"(?s)\[\[chunk:(.*?)\]\]"), F.lit(1)), lambda x: x != ""))
 
 
+# The words of the reply that stands in for a model's.
+OFFLINE_REPLY = ("Based on the retrieved documentation, here is an answer grounded in ", " source(s). See the cited sources for details.")
+
+
 def offline_replies(prompted: DataFrame, most: int = CITED_BY_DEFAULT) -> DataFrame:
     """``query_id, reply, cited, provider`` without a model: cites the first tagged chunks and says how many."""
     cited = F.slice(tagged_ids(F.col("message")), 1, most)
-    words = F.concat(
-        F.lit("Based on the retrieved documentation, here is an answer grounded in "), F.size("cited").cast("string"), F.lit(" source(s). See the cited sources for details.")
-    )
+    words = F.concat(F.lit(OFFLINE_REPLY[0]), F.size("cited").cast("string"), F.lit(OFFLINE_REPLY[1]))
     return prompted.select("query_id", cited.alias("cited")).select("query_id", F.when(F.size("cited") > 0, words).otherwise("").alias("reply"), "cited", F.lit("mock-llm").alias("provider"))
 
 

@@ -18,13 +18,14 @@ def has_ground_truth(questions: DataFrame) -> DataFrame:
     return questions.where((size("expected_chunk_ids") > 0) | (size("expected_source_files") > 0))
 
 
-def judge(questions: DataFrame, results: DataFrame) -> DataFrame:
+def judge(questions: DataFrame, results: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """One row per question: first relevant rank, hits, reciprocal rank, top score, and what was returned.
 
     ``questions``: ``question_id, expected_chunk_ids, expected_source_files``;
     ``results``: ``query_id, rank, chunk_id, source_path, score``, whose query is
     the question. A result is relevant if its chunk or, tolerantly, its file is
-    expected. A question without results is empty, not missing.
+    expected. A question without results is empty, not missing. With ``runs``
+    (``query_id, latency_ms, retrieval_run_id``) each question has those of its run.
     """
     asked = questions.select(
         F.col("question_id").cast("string").alias("question_id"),
@@ -39,6 +40,10 @@ def judge(questions: DataFrame, results: DataFrame) -> DataFrame:
     judged = joined.groupBy("question_id").agg(
         F.min(F.when(relevant, F.col("rank"))).alias("first_rank"), F.min_by("score", "rank").alias("top_score"), F.count("rank").alias("n_results"), listed.alias("listed")
     )
+    extra = []
+    if runs is not None:
+        judged = judged.join(runs.select(F.col("query_id").cast("string").alias("question_id"), "retrieval_run_id", "latency_ms"), "question_id", "left")
+        extra = ["retrieval_run_id", "latency_ms"]
     return judged.select(
         "question_id",
         "first_rank",
@@ -50,16 +55,18 @@ def judge(questions: DataFrame, results: DataFrame) -> DataFrame:
         (F.col("n_results") == 0).alias("empty"),
         F.transform("listed", lambda x: x["chunk_id"]).alias("returned_chunk_ids"),
         F.transform("listed", lambda x: x["source_path"]).alias("returned_source_paths"),
+        *extra,
     )
 
 
 def metrics(judged: DataFrame, mode: str) -> DataFrame:
-    """One row of metrics; all zero without questions. An empty result counts as below the threshold in vector mode."""
+    """One row of metrics; all zero without questions. An empty result counts as below the threshold in every mode. Latencies, where judged, are averaged."""
     share = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
     below = F.col("empty") | (F.col("top_score") < THRESHOLD) if mode == "vector" else F.col("empty")
     return judged.agg(
         F.count(F.lit(1)).alias("question_count"), share("hit_at_1").alias("hit_at_1"), share("hit_at_3").alias("hit_at_3"), share("hit_at_5").alias("hit_at_5"),
         share("reciprocal_rank").alias("mrr"), F.count_if("empty").alias("empty_count"), F.count_if(F.coalesce(below, F.lit(False))).alias("below_threshold_count"),
+        *([share("latency_ms").alias("avg_latency_ms")] if "latency_ms" in judged.columns else []),
     )
 
 

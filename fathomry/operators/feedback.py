@@ -118,3 +118,11 @@ def rechunk_candidates(items: DataFrame, least: int = RECHUNK_AT) -> DataFrame:
     ).where(F.col("downvoted_chunk_count") >= least)
     reason = F.format_string("%d distinct chunks in this document received bad feedback", "downvoted_chunk_count")
     return counted.withColumn("reason", reason).orderBy(F.desc("downvoted_chunk_count"), "document_id")
+
+
+OBSERVED = ["query_id", "retrieval_run_id", "chunk_id", "rating", "search_mode", "rank", "score", "source_path", "created_at"]
+
+
+def observations(items: DataFrame) -> DataFrame:
+    """Every item as the report lists it, in order of time and id."""
+    return items.orderBy("created_at", "id").select(F.col("id").alias("feedback_id"), *OBSERVED)

@@ -6,6 +6,7 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EVIDENCE = (
@@ -15,11 +16,34 @@ EVIDENCE = (
 QUESTIONS = "id string, question string, expectedChunkIds array<string>, expectedSourceFiles array<string>"
 
 
-def read_log(spark: SparkSession, path: str, schema: str = EVIDENCE) -> DataFrame:
-    """A JSON-lines log; blank lines are skipped, a malformed line is an error, and a missing file is an empty log."""
-    local = path.removeprefix("file:")
-    if "://" not in path and not os.path.exists(local):
+def _missing(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return not found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: str = EVIDENCE) -> DataFrame:
+    """``file, line, text`` of every line that is not an object of the schema; lines count from 1 in their file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    # A file's lines lie in order on one task or on several in a row: a line's number is its place there after those of the tasks before.
+    shares = lines.groupBy("file", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    read = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    bad = lines.where((F.trim("value") != "") & (read["__bad"].isNotNull() | read.isNull()))
+    return bad.join(shares.withColumn("before", before), ["file", "part"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def read_log(spark: SparkSession, path: str, schema: str = EVIDENCE, check: bool = False) -> DataFrame:
+    """A JSON-lines log; blank lines are skipped, and a missing file is an empty log.
+
+    A malformed line fails the job that reads it; with ``check`` the log is read
+    through at once, and the error names the first such line.
+    """
+    if _missing(spark, path):
         return spark.createDataFrame([], schema)
+    if check:
+        bad = malformed_lines(spark, path, schema).orderBy("file", "line").first()
+        if bad is not None:
+            raise ValueError(f"invalid log line {bad.line} of {bad.file}")
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -44,17 +68,44 @@ def load_questions(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def _camel(value):
+    """Names of nested records in camel case."""
+    if isinstance(value, dict):
+        return {k.split("_")[0] + "".join(p.title() for p in k.split("_")[1:]): _camel(v) for k, v in value.items()}
+    return [_camel(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def write_report(row: DataFrame, path: str) -> None:
     """A one-row result as pretty JSON with camel-case names."""
-    camel = lambda name: name.split("_")[0] + "".join(p.title() for p in name.split("_")[1:])
     found = row.limit(2).collect()
     if len(found) != 1:
         raise ValueError("a report is one row")
+    write_record(found[0].asDict(recursive=True), path)
+
+
+def write_record(record: dict, path: str, **lists: DataFrame) -> None:
+    """A record as one JSON object with camel-case names, and after it the rows of ``lists``, written as they come."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({camel(k): v for k, v in found[0].asDict(recursive=True).items()}, f, indent=2, default=str)
+        f.write(json.dumps(_camel(record), indent=2, default=str).removesuffix("\n}"))
+        for name, rows in lists.items():
+            f.write(f",\n  {json.dumps(next(iter(_camel({name: 0}))))}: ")
+            _write_rows(rows, f)
+        f.write("\n}\n")
+
+
+def _write_rows(rows: DataFrame, f) -> None:
+    """Rows as a JSON array; the driver holds one partition of them at a time."""
+    mark = "["
+    for row in rows.toLocalIterator():
+        f.write(f"{mark}\n    " + json.dumps(_camel(row.asDict(recursive=True)), default=str))
+        mark = ","
+    f.write("[]" if mark == "[" else "\n  ]")
 
 
 def export_feedback(items: DataFrame, path: str) -> None:
-    """All items in order of time and id, one JSON object a line."""
-    items.orderBy("created_at", "id").coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """All items in order of time and id, as one JSON array."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        _write_rows(items.orderBy("created_at", "id"), f)
+        f.write("\n")

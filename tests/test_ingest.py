@@ -130,6 +130,10 @@ def test_json_sources(spark, tmp_path):
     log.write_text("{broken\n")
     with pytest.raises(Exception):
         jsonl.read_log(spark, str(log)).collect()
+    log.write_text('{"queryId":"q"}\n\n{"queryId":"r"}\n{broken\n[1]\n')
+    assert [(r.line, r.text) for r in jsonl.malformed_lines(spark, str(log)).orderBy("line").collect()][:1] == [(4, "{broken")]
+    with pytest.raises(ValueError, match="line 4 of"):
+        jsonl.read_log(spark, str(log), check=True)
     jsonl.append_log(spark.createDataFrame([("a", None)], "x string, y string"), str(tmp_path / "out"))
     jsonl.append_log(spark.createDataFrame([("b", "c")], "x string, y string"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2

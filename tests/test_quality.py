@@ -27,6 +27,9 @@ def test_judgement(spark, results):
     assert judged["q1"].returned_chunk_ids == ["c1", "c2", "c3"] and judged["q2"].hit_at_1 and judged["q3"].empty
     m = evaluate.metrics(evaluate.judge(questions, results), "vector").first()
     assert (m.question_count, m.empty_count, m.below_threshold_count) == (4, 2, 3) and m.mrr == pytest.approx(1.5 / 4)
+    runs = spark.createDataFrame([("q1", "r1", 10.0), ("q2", "r2", 30.0)], "query_id string, retrieval_run_id string, latency_ms double")
+    timed = evaluate.judge(questions.where("question_id < 'q3'"), results, runs)
+    assert evaluate.metrics(timed, "vector").first().avg_latency_ms == 20.0 and {r.question_id: r.retrieval_run_id for r in timed.collect()} == {"q1": "r1", "q2": "r2"}
     none = evaluate.metrics(evaluate.judge(questions.limit(0), results), "vector").first()
     assert none.question_count == 0 and none.mrr == 0.0
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from fathomry.functions.ranking import by_size, place, running, totals
 from fathomry.functions.scoring import fetch_depth, fused_score, hybrid_depth
 from fathomry.operators.keyword import keyword_candidates, term_stats
-from fathomry.operators.search import ModelMismatch, check_model, run_summary, search
+from fathomry.operators.search import EmptyQuery, ModelMismatch, check_model, run_records, run_summary, search
 from fathomry.operators.vector import vector_candidates
 
 CHUNKS = "chunk_id string, document_id string, source_path string, content string, preview string, heading_path array<string>, status string"
+DOCS_WITH_MODEL = "id string, project string, tags array<string>, status string, embedding_model string, embedding_dimension int, source_path string"
 DOCS = "id string, project string, tags array<string>, status string, source_path string, embedding_model string, embedding_dimension int"
 
 
@@ -79,7 +80,9 @@ def test_bad_input(spark, index):
     check_model(docs, "m", 2)
     check_model(docs.limit(0), "m", 3)
     blank = spark.createDataFrame([("q", "  "), ("r", None)], "query_id string, text string")
-    assert search(blank, chunks, docs, "keyword", 3).count() == 0
+    assert search(blank, chunks, docs, "keyword", 3, skip_blank=True).count() == 0
+    with pytest.raises(EmptyQuery):
+        search(blank, chunks, docs, "keyword", 3)
 
 
 def test_empty_index(spark, index):
@@ -145,6 +148,26 @@ def test_searching_in_parts_and_blocks_gives_the_same(spark, monkeypatch):
     assert both() == whole
 
 
+def test_guards_and_run_records(spark):
+    docs = spark.createDataFrame([("d1", None, None, "Active", "m", 2, "p")], DOCS_WITH_MODEL)
+    chunks = spark.createDataFrame([("c1", "d1", "p", "alpha", "alpha", None, "x"), ("c2", "d1", "p", "beta", "beta", None, "x")], CHUNKS)
+    vectors = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.1, 1.0])], "chunk_id string, vector array<double>")
+    asked = spark.createDataFrame([("q1", "alpha", [1.0, 0.0], "r1", "pr", ["a", "b"], None), ("q2", "none", [0.0, -1.0], "r2", None, None, "s/x")], "query_id string, text string, vector array<double>, retrieval_run_id string, project string, tags array<string>, source string")
+    plain = asked.select("query_id", "text", "vector", "retrieval_run_id")
+    with pytest.raises(ModelMismatch):
+        search(plain, chunks, docs, "vector", 2, vectors, model=("other", 2))
+    with pytest.raises(ValueError, match="3 values"):
+        search(plain.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))), chunks, docs, "hybrid", 2, vectors, model=("m", 2))
+    # Keyword search needs no vectors, so their model does not matter.
+    assert search(plain, chunks, docs, "keyword", 2, model=("other", 2)).count() == 1
+    found = search(plain, chunks, docs, "vector", 2, vectors, model=("m", 2))
+    first, second = run_records(asked, found, docs, "vector", 2, 12.5, "2025-01-01").orderBy("query_id").collect()
+    assert (first.retrieval_run_id, first.reason, first.latency_ms, first.below_threshold_count, [r.chunk_id for r in first.results]) == ("r1", "ok", 12.5, 1, ["c1", "c2"])
+    assert first.filters == "project=pr  tag=a  tag=b" and second.filters == "source=s/x" and second.below_threshold_count == 2
+    empty = run_records(plain.drop("retrieval_run_id"), found.limit(0), docs.withColumn("status", F.lit("Deleted")), "vector", 2, 1, "t").first()
+    assert (empty.reason, empty.results, empty.filters) == ("indexEmpty", [], "(none)") and empty.retrieval_run_id.startswith("rrun_")
+
+
 def test_term_counts(spark):
     rows = spark.createDataFrame([(1, "a b a"), (2, "B c"), (3, None), (4, ""), (None, "a")], "id int, text string")
     assert {(r.term, r.df, r.occurrences) for r in term_stats(rows, "id", "text").collect()} == {("a", 1, 2), ("b", 2, 2), ("c", 1, 1)}
