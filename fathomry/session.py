@@ -36,9 +36,10 @@ def spread(df: DataFrame) -> DataFrame:
     less than that for each core would leave cores idle in a costly scan. What
     is shuffled here is bounded by that size; tables of unknown size are left alone.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # Of what is read, not of what is kept of it: sizes of single columns are guesses.
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
     return df.repartition(cores) if size <= cores * 2_000_000 else df
 
 
