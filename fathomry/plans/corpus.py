@@ -14,7 +14,7 @@ from fathomry.operators.ingest import file_outcomes, missing_documents
 from fathomry.operators.keyword import corpus_stats, term_stats
 from fathomry.plans.registry import Registry
 from fathomry.plans.tables import DOCS_SQL, current_chunks, current_documents, mock_sql, preview_sql, terms_sql, words_sql
-from fathomry.session import table
+from fathomry.session import spread, table
 
 registry = Registry()
 
@@ -97,17 +97,54 @@ def parser_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunked(spark: SparkSession, sf_dir: str, kind: str, config: ChunkingConfig) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(ids.document_id(F.col("doc_id").cast("string")).alias("document_id"), F.lit(kind).alias("extension"), "text")
-    return chunk_documents(rows, config).withColumn("heading_path", F.array_join("heading_path", " > "))
+    return chunk_documents(spread(rows), config).withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
-@registry.query("chunk_plain")
+_SIZES = ChunkingConfig(60, 100, 12)
+_SPACES = "[\\t-\\r\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def _strip_sql(column: str) -> str:
+    return f"regexp_replace(regexp_replace({column}, '^{_SPACES}+', ''), '{_SPACES}+$', '')"
+
+
+def _tail_sql(column: str) -> str:
+    return f"array_to_string(list_slice({words_sql(column)}, greatest(len({words_sql(column)}) - {_SIZES.overlap - 1}, 1), len({words_sql(column)})), ' ')"
+
+
+# Paragraphs one by one: what is held before and after each, and what is emitted before it is added (a), once it is (b) and in the end (c).
+CHUNK_PLAIN_SQL = f"""
+WITH RECURSIVE units AS (
+  SELECT 'doc_' || substr(sha256(doc_id::VARCHAR), 1, 16) AS document_id,
+         list_filter(list_transform(regexp_split_to_array(replace(text, chr(13) || chr(10), chr(10)), '\n{_SPACES}*\n'), lambda u: {_strip_sql('u')}), lambda u: u <> '') AS u
+  FROM documents WHERE text IS NOT NULL
+), steps AS (
+  SELECT document_id, u, 0 AS i, '' AS held, 0 AS size, NULL::VARCHAR AS a, NULL::VARCHAR AS b FROM units WHERE len(u) > 0
+  UNION ALL
+  SELECT document_id, u, i, CASE WHEN size >= {_SIZES.target} THEN {_tail_sql('held')} ELSE held END AS held,
+         CASE WHEN size >= {_SIZES.target} THEN least({_SIZES.overlap}, len({words_sql('held')})) ELSE size END AS size, a, CASE WHEN size >= {_SIZES.target} THEN held END AS b
+  FROM (SELECT document_id, u, i, CASE WHEN held = '' THEN u[i] ELSE held || chr(10) || chr(10) || u[i] END AS held, size + len({words_sql('u[i]')}) AS size, a
+        FROM (SELECT document_id, u, i, CASE WHEN over THEN {_tail_sql('held')} ELSE held END AS held, CASE WHEN over THEN least({_SIZES.overlap}, len({words_sql('held')})) ELSE size END AS size,
+                     CASE WHEN over THEN held END AS a
+              FROM (SELECT document_id, u, i + 1 AS i, held, size, held <> '' AND size + len({words_sql('u[i + 1]')}) > {_SIZES.most} AS over FROM steps WHERE i < len(u))))
+), pieces AS (
+  SELECT document_id, i, 1 AS k, {_strip_sql('a')} AS content FROM steps WHERE a IS NOT NULL
+  UNION ALL SELECT document_id, i, 2, {_strip_sql('b')} FROM steps WHERE b IS NOT NULL
+  UNION ALL SELECT document_id, i, 3, {_strip_sql('held')} FROM steps WHERE i = len(u) AND held <> ''
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY i, k) - 1 AS chunk_index, sha256(content) AS content_hash FROM pieces)
+SELECT 'chunk_' || substr(sha256(document_id || ':' || chunk_index::VARCHAR || ':' || content_hash), 1, 16) AS chunk_id, document_id, chunk_index, '' AS heading_path, content,
+       {preview_sql('content')} AS preview, content_hash, len({words_sql('content')}) AS token_count FROM numbered
+"""
+
+
+@registry.query("chunk_plain", CHUNK_PLAIN_SQL)
 def chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunked(spark, sf_dir, "txt", ChunkingConfig(60, 100, 12))
+    return _chunked(spark, sf_dir, "txt", _SIZES)
 
 
 @registry.query("chunk_markdown")
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunked(spark, sf_dir, "md", ChunkingConfig(60, 100, 12))
+    return _chunked(spark, sf_dir, "md", _SIZES)
 
 
 @registry.query(
