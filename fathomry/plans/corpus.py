@@ -142,7 +142,53 @@ def chunk_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(spark, sf_dir, "txt", _SIZES)
 
 
-@registry.query("chunk_markdown")
+# Lines with their fences and headings, then units by section, then packing as above, where code over the limit stands alone.
+CHUNK_MARKDOWN_SQL = f"""
+WITH RECURSIVE lines AS (
+  SELECT document_id, i, l, regexp_replace(l, '^{_SPACES}+', '') AS bare FROM (
+    SELECT document_id, i, regexp_replace(parts[i], '\\r$', '') AS l FROM (
+      SELECT 'doc_' || substr(sha256(doc_id::VARCHAR), 1, 16) AS document_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS r(i))
+), fenced AS (
+  SELECT *, starts_with(bare, '```') OR starts_with(bare, '~~~') AS fence, sum(CASE WHEN starts_with(bare, '```') OR starts_with(bare, '~~~') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY i) AS f FROM lines
+), kinds AS (
+  SELECT *, fence OR f % 2 = 1 AS code, CASE WHEN NOT fence AND f % 2 = 0 THEN len(regexp_extract(bare, '^#+')) ELSE 0 END AS signs FROM fenced
+), marked AS (
+  SELECT *, CASE WHEN signs BETWEEN 1 AND 6 THEN signs END AS level, NOT code AND bare = '' AS blank FROM kinds
+), parted AS (
+  SELECT *, count(level) OVER w AS section, sum(CASE WHEN blank OR level IS NOT NULL OR fence THEN 1 ELSE 0 END) OVER w AS part FROM marked WINDOW w AS (PARTITION BY document_id ORDER BY i)
+), raw_units AS (
+  SELECT document_id, section, min(i) AS i, code, string_agg(l, chr(10) ORDER BY i) AS body
+  FROM (SELECT *, CASE WHEN code THEN -((f + 1) // 2) ELSE part END AS run FROM parted WHERE NOT blank AND level IS NULL) GROUP BY document_id, section, code, run
+), units AS (
+  SELECT document_id, section, i, code, CASE WHEN code THEN regexp_replace(body, '{_SPACES}+$', '') ELSE {_strip_sql('body')} END AS body FROM raw_units
+), heads AS (SELECT document_id, section, level, {_strip_sql("bare[level + 1 :]")} AS title FROM parted WHERE level IS NOT NULL),
+paths AS (
+  SELECT a.document_id, a.section, string_agg(b.title, ' > ' ORDER BY b.section) AS heading_path
+  FROM heads a JOIN heads b ON a.document_id = b.document_id AND (b.section = a.section OR b.section < a.section AND b.level < a.level
+    AND NOT EXISTS (SELECT 1 FROM heads c WHERE c.document_id = a.document_id AND c.section > b.section AND c.section < a.section AND c.level <= b.level))
+  GROUP BY ALL
+), lists AS (SELECT document_id, section, list(struct_pack(code := code, body := body) ORDER BY i) AS u FROM units WHERE body <> '' GROUP BY document_id, section),
+steps AS (
+  SELECT document_id, section, u, 0 AS i, '' AS held, 0 AS size, NULL::VARCHAR AS a, NULL::VARCHAR AS b FROM lists
+  UNION ALL
+  SELECT document_id, section, u, i, CASE WHEN alone THEN '' WHEN size >= {_SIZES.target} THEN {_tail_sql('held')} ELSE held END AS held,
+         CASE WHEN alone THEN 0 WHEN size >= {_SIZES.target} THEN least({_SIZES.overlap}, len({words_sql('held')})) ELSE size END AS size, a, CASE WHEN alone THEN u[i].body WHEN size >= {_SIZES.target} THEN held END AS b
+  FROM (SELECT document_id, section, u, i, alone, CASE WHEN held = '' THEN u[i].body ELSE held || chr(10) || chr(10) || u[i].body END AS held, size + len({words_sql('u[i].body')}) AS size, a
+        FROM (SELECT document_id, section, u, i, alone, CASE WHEN over THEN {_tail_sql('held')} ELSE held END AS held, CASE WHEN over THEN least({_SIZES.overlap}, len({words_sql('held')})) ELSE size END AS size,
+                     CASE WHEN over OR alone AND held <> '' THEN held END AS a
+              FROM (SELECT document_id, section, u, i + 1 AS i, held, size, u[i + 1].code AND len({words_sql('u[i + 1].body')}) > {_SIZES.most} AS alone,
+                           held <> '' AND size + len({words_sql('u[i + 1].body')}) > {_SIZES.most} AS over FROM steps WHERE i < len(u))))
+), pieces AS (
+  SELECT document_id, section, i, 1 AS k, {_strip_sql('a')} AS content FROM steps WHERE a IS NOT NULL
+  UNION ALL SELECT document_id, section, i, 2, {_strip_sql('b')} FROM steps WHERE b IS NOT NULL
+  UNION ALL SELECT document_id, section, i, 3, {_strip_sql('held')} FROM steps WHERE i = len(u) AND held <> ''
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section, i, k) - 1 AS chunk_index, sha256(content) AS content_hash FROM pieces)
+SELECT 'chunk_' || substr(sha256(document_id || ':' || chunk_index::VARCHAR || ':' || content_hash), 1, 16) AS chunk_id, document_id, chunk_index, coalesce(heading_path, '') AS heading_path, content,
+       {preview_sql('content')} AS preview, content_hash, len({words_sql('content')}) AS token_count FROM numbered LEFT JOIN paths USING (document_id, section)
+"""
+
+
+@registry.query("chunk_markdown", CHUNK_MARKDOWN_SQL)
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunked(spark, sf_dir, "md", _SIZES)
 
