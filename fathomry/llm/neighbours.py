@@ -127,7 +127,7 @@ def _sizes(index: Index):
     return each
 
 
-POSTED = "shelf int, entry_block int, query_block int, file int, num long, reach float, least float, packed binary"
+POSTED = "shelf int, entry_block int, query_block int, file int, num long, item string, reach float, least float, packed binary"
 
 
 def _least(index: Index, rows: np.ndarray, k: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def _post(index: Index, k: int, entry_blocks: np.ndarray, query_blocks: np.ndarr
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, rows, home, reach, looks in _nearest(index, batch) if len(batch) else ():
-                values = {"num": batch["num"].to_numpy(np.int64)[part], "reach": reach, "least": _least(index, rows, k), "packed": np.array([r.tobytes() for r in rows], dtype=object)}
+                values = {"num": batch["num"].to_numpy(np.int64)[part], "item": batch["item"].to_numpy(object)[part], "reach": reach, "least": _least(index, rows, k), "packed": np.array([r.tobytes() for r in rows], dtype=object)}
                 yield copies(index.shelf(home), entry_blocks, query_blocks, home.astype(np.int32), **values)
                 q, shelf = np.nonzero(looks)
                 yield copies(shelf.astype(np.int32), query_blocks, entry_blocks, np.full(len(q), -1, np.int32), **{name: value[q] for name, value in values.items()})
@@ -166,7 +166,7 @@ def _post(index: Index, k: int, entry_blocks: np.ndarray, query_blocks: np.ndarr
     return each
 
 
-FOUND = "num long, other long, cosine float"
+FOUND = "item string, other string, cosine float"
 
 
 def _best(cosine: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +190,8 @@ def _search(index: Index, k: int):
     """Per query, the k best by cosine of the files it looks into."""
 
     def each(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"num": np.empty(0, np.int64), "other": np.empty(0, np.int64), "cosine": np.empty(0, np.float32)})
-        file, num = rows["file"].to_numpy(), rows["num"].to_numpy(np.int64)
+        none = pd.DataFrame({"item": np.empty(0, object), "other": np.empty(0, object), "cosine": np.empty(0, np.float32)})
+        file, num, item = rows["file"].to_numpy(), rows["num"].to_numpy(np.int64), rows["item"].to_numpy(object)
         asked = file < 0
         if not asked.any() or asked.all():
             return none
@@ -227,13 +227,16 @@ def _search(index: Index, k: int):
                         at = at[got]
                         cosines[at], names[at] = _best(np.hstack([cosines[at], found]), np.hstack([names[at], which]), k)
         r, c = np.nonzero(names >= 0)
-        return pd.DataFrame({"num": num[q][r], "other": names[r, c], "cosine": cosines[r, c]})
+        posted = np.flatnonzero(~asked)
+        posted = posted[np.argsort(num[posted], kind="stable")]
+        other = item[posted[np.searchsorted(num[posted], names[r, c])]]
+        return pd.DataFrame({"item": item[q][r], "other": other, "cosine": cosines[r, c]})
 
     return each
 
 
 def search(vectors: DataFrame, k: int, index: Index) -> DataFrame:
-    """``num, other, cosine``: the k best others the index finds for each of the distinct ``vectors`` (``num, packed``)."""
+    """``item, other, cosine``: the k best others the index finds for each of the distinct ``vectors`` (``num, item, packed``)."""
     counted = vectors.mapInPandas(_sizes(index), "shelf int, entries long, queries long").groupBy("shelf").agg(F.sum("entries").alias("e"), F.sum("queries").alias("q"))
     sizes = {r.shelf: (r.e, r.q) for r in counted.collect()}
     shelves = len(index.starts)
@@ -245,8 +248,8 @@ def search(vectors: DataFrame, k: int, index: Index) -> DataFrame:
     posted = vectors.mapInPandas(_post(index, k, *blocks), POSTED).repartition(int(max(tasks, min((blocks[0] * blocks[1]).sum() * 2, 20_000))), "shelf", "entry_block", "query_block")
     found = posted.groupBy("shelf", "entry_block", "query_block").applyInPandas(_search(index, k), FOUND)
     # A query has at most k rows of each block it met, so its groups are small.
-    near = found.groupBy("num").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k).alias("near"))
-    return near.select("num", F.explode("near").alias("n")).select("num", "n.other", (-F.col("n.far")).cast("double").alias("cosine"))
+    near = found.groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k).alias("near"))
+    return near.select("item", F.explode("near").alias("n")).select("item", "n.other", (-F.col("n.far")).cast("double").alias("cosine"))
 
 
 def _pack(dimension: int):
@@ -284,15 +287,8 @@ def most_similar(
     index = fit(classes, classes.count(), pivots, probes, seed)
     if not len(index.pivots):
         return vectors.sparkSession.createDataFrame([], FOUND)
-    # Numbers stand for names while copies are sent about; the checkpoint holds each row's place still.
-    numbered = classes.select(F.monotonically_increasing_id().alias("num"), "item", "packed")
-    names = numbered.select("num", "item")
-    near = (
-        search(numbered.select("num", "packed"), k, index)
-        .join(names, "num")
-        .join(names.select(F.col("num").alias("other"), F.col("item").alias("name")), "other")
-        .select("item", F.col("name").alias("other"), "cosine")
-    )
+    # Names go along with the copies, so that what is found needs no join to get them; the checkpoint holds each row's number still.
+    near = search(classes.select(F.monotonically_increasing_id().alias("num"), "item", "packed"), k, index)
     # Copies: a class lends its k + 1 smallest ids, all that a top k can need of it.
     copied = classes.where(F.col("n") > 1).select("packed", "item")
     members = rows.join(copied, "packed").select("id", "item")
