@@ -392,7 +392,7 @@ def truncated(df: DataFrame, record: str = "doc_id", text: str = "text", source:
     # A last line that only looks like a sign-off is the beginning of a sentence.
     closed = read.where(F.col("closing").isNotNull()).join(sign_offs(read).withColumn("signed", F.lit(True)), "closing", "left")
     judged = closed.withColumn("kind", F.when(F.col("signed").isNull(), "bare").otherwise(F.col("kind"))).drop("openers", "signed")
-    ends = at_limits(read.where(F.col("closing").isNull()).drop("openers").unionByName(judged).drop("closing"))
+    ends = settle(at_limits(read.where(F.col("closing").isNull()).drop("openers").unionByName(judged).drop("closing")))
     # Parts of words only make a source less terse: they are looked up where it could be.
     could = terse_sources(ends)
     if could.isEmpty():
