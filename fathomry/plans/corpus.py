@@ -10,10 +10,10 @@ from fathomry.functions.paths import extension, normal_path, path_matches
 from fathomry.functions.vectors import mock_embedding
 from fathomry.operators.chunking import MARKDOWN, PLAIN, ChunkingConfig, chunk_documents
 from fathomry.operators.filters import passes
-from fathomry.operators.ingest import file_outcomes, missing_documents
+from fathomry.operators.ingest import chunk_metadata, file_outcomes, missing_documents
 from fathomry.operators.keyword import corpus_stats, term_stats
 from fathomry.plans.registry import Registry
-from fathomry.plans.tables import DOCS_SQL, current_chunks, current_documents, mock_sql, preview_sql, terms_sql, words_sql
+from fathomry.plans.tables import CHUNKS_SQL, DOCS_SQL, current_chunks, current_documents, mock_sql, preview_sql, terms_sql, words_sql
 from fathomry.session import spread, table
 
 registry = Registry()
@@ -76,10 +76,25 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_stats(docs, "doc_id", "text").select("term", "df", "occurrences", stats.select("n").scalar().alias("n_documents"), F.round(stats.select("average").scalar(), 6).alias("average_length"))
 
 
-@registry.query("mock_embed", f"SELECT doc_id, i AS place, round(v[i], 6) AS value FROM (SELECT doc_id, {mock_sql('text', 48)} AS v FROM documents), unnest([1, 2, 33, 48]) AS u(i)")
+@registry.query("mock_embed", f"SELECT doc_id, i AS place, round(v[i], 6) AS value FROM (SELECT doc_id, {mock_sql('text', 48)} AS v FROM documents), unnest(range(1, 49)) AS u(i)")
 def mock_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", mock_embedding(F.col("text"), 48).alias("v"), F.explode(F.array(*map(F.lit, (1, 2, 33, 48)))).alias("place"))
-    return rows.select("doc_id", "place", F.round(F.get("v", F.col("place") - 1), 6).alias("value"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(mock_embedding(F.col("text"), 48)).alias("place", "value"))
+    # A null text has 48 places without values, as in the SQL.
+    placed = rows.select("doc_id", F.explode(F.when(F.col("place").isNull(), F.sequence(F.lit(1), F.lit(48))).otherwise(F.array(F.col("place") + 1))).alias("place"), "value")
+    return placed.withColumn("value", F.round("value", 6))
+
+
+@registry.query(
+    "chunk_metadata",
+    f"""WITH {CHUNKS_SQL}, {DOCS_SQL} SELECT chunk_id, 'char_length=' || length(content) || ' embedding_dimension=32 embedding_model=mock source_path=' || cur.source_path || coalesce(' title=' || title, '') AS metadata
+        FROM cur JOIN docs ON cur.document_id = docs.id WHERE cur.source_path IS NOT NULL AND content IS NOT NULL""",
+)
+def chunk_metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata an ingestion would give each chunk, as text in order of its keys."""
+    docs = current_documents(spark, sf_dir).select(F.col("id").alias("document_id"), "title")
+    rows = current_chunks(spark, sf_dir).join(docs, "document_id").where(F.col("source_path").isNotNull() & F.col("content").isNotNull())
+    entries = F.transform(F.array_sort(F.map_entries(chunk_metadata("mock", 32))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("chunk_id", F.array_join(entries, " ").alias("metadata"))
 
 
 @registry.query(

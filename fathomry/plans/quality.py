@@ -197,6 +197,9 @@ def feedback_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.select_feedback(current_feedback(spark, sf_dir), "2025-04-01 00:00:00", "2025-06-30 23:59:59", "bad").select("id", "query_id", "rating")
 
 
+_STORED_UNTIL = "2025-06-01"
+
+
 @registry.query(
     "feedback_validation",
     f"""WITH {FEEDBACK_SQL}, {RUNS_SQL}
@@ -212,6 +215,23 @@ def feedback_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.groupBy(F.coalesce("problem", F.lit("accepted")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@registry.query(
+    "feedback_conflicts",
+    f"""WITH {FEEDBACK_SQL}, {RUNS_SQL}, twice AS (SELECT id, count(*) AS times FROM feedback_items WHERE id IS NOT NULL GROUP BY id), stored AS (SELECT id FROM fb WHERE created_at < TIMESTAMPTZ '{_STORED_UNTIL} 00:00:00+00')
+        SELECT f.id, CASE WHEN times > 1 THEN 'feedback id appears more than once in this batch' WHEN s.id IS NOT NULL THEN 'feedback id already exists'
+          WHEN NOT coalesce(rating IN ('good', 'bad'), false) THEN 'unknown rating' WHEN r.query_id IS NULL THEN 'retrieval run was not found'
+          WHEN r.query_id IS DISTINCT FROM f.query_id THEN 'query id does not match the run'
+          WHEN NOT coalesce(list_contains(list_transform(results, lambda x: x.chunk_id), f.chunk_id), false) THEN 'chunk was not displayed in the run' END AS problem
+        FROM feedback_items f JOIN twice ON f.id = twice.id LEFT JOIN stored s ON f.id = s.id LEFT JOIN runs r ON f.retrieval_run_id = r.retrieval_run_id""",
+)
+def feedback_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recording all deliveries of feedback as one batch would say of each, if the earlier items were stored already."""
+    rows = table(spark, sf_dir, "feedback_items").where(F.col("id").isNotNull())
+    inputs = rows.select("id", "query_id", "retrieval_run_id", "chunk_id", "rating", "note", "created_at")
+    stored = current_feedback(spark, sf_dir).where(F.col("created_at") < F.lit(f"{_STORED_UNTIL} 00:00:00").cast("timestamp")).select("id")
+    return feedback.judged_inputs(inputs, current_runs(spark, sf_dir), stored).select("id", "problem")
+
+
 @registry.query(
     "feedback_windows",
     _RATED_SQL + """SELECT strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:00:00') AS window_start, search_mode, count(*) FILTER (rating = 'good') AS good_count, count(*) FILTER (rating = 'bad') AS bad_count

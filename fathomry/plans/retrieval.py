@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.functions.vectors import mock_embedding, norm, similarity
+from fathomry.functions.vectors import cosine, mock_embedding, norm, similarity
 from fathomry.operators.keyword import keyword_candidates
 from fathomry.operators.search import run_summary, search
 from fathomry.operators.vector import vector_candidates
@@ -87,6 +87,17 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm(F.col("embedding"))), 6).alias("mean_norm"))
 
 
+@registry.query(
+    "cosine_in_order",
+    f"SELECT a.vec_id, round(CASE WHEN list_sum(list_transform(a.embedding, lambda x: abs(x))) * list_sum(list_transform(b.embedding, lambda x: abs(x))) > 0 THEN {cosine_sql('a.embedding', 'b.embedding')} ELSE 0 END, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+)
+def cosine_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine of each vector with the one of the next id."""
+    rows = table(spark, sf_dir, "embeddings")
+    following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(following, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
+
+
 def _search(spark: SparkSession, sf_dir: str, mode: str, explain: bool = False, **filters) -> DataFrame:
     # Read several times: for the statistics, the scores and what is shown of the results.
     chunks = settle(current_chunks(spark, sf_dir))
@@ -145,6 +156,19 @@ def keyword_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
 
 
+@registry.query(
+    "keyword_search_source",
+    _candidates_sql(None, TOP * 5) + _ranked_sql("keyword_score", "source_path = (SELECT cur.source_path FROM cur JOIN docs ON document_id = docs.id WHERE status <> 'Deleted' GROUP BY cur.source_path ORDER BY count(*) DESC, cur.source_path LIMIT 1)") + f"SELECT query_id, rank, chunk_id, document_id, round(score, 6) AS score FROM ranked WHERE rank <= {TOP}",
+)
+def keyword_search_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in one file: the one with the most chunks, of documents that are there."""
+    there = current_documents(spark, sf_dir).where("status <> 'Deleted'").select(F.col("id").alias("document_id"))
+    counted = current_chunks(spark, sf_dir).join(there, "document_id", "left_semi").groupBy("source_path").count()
+    path = counted.agg(F.min(F.struct(-F.col("count"), "source_path"))["source_path"]).first()[0]
+    found = _search(spark, sf_dir, "keyword", source=F.lit(path))
+    return found.select("query_id", "rank", "chunk_id", "document_id", F.round("score", 6).alias("score"))
+
+
 @registry.query("vector_search", _candidates_sql(TOP, None) + _ranked_sql("vector_score") + f"SELECT query_id, rank, chunk_id, document_id, round(score, 6) AS score FROM ranked WHERE rank <= {TOP}")
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _search(spark, sf_dir, "vector")
