@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from fathomry.functions.scoring import B, K1, idf
+from fathomry.functions.scoring import B, K1
 from fathomry.functions.text import LOWER, UPPER, terms
 from fathomry.operators.topk import CELLS, Best, in_batches
 from fathomry.session import spread
@@ -45,13 +46,21 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
 
 
 def asked_weights(asked: DataFrame, records: DataFrame, record: str, text: str) -> tuple[pd.DataFrame, float]:
-    """``query_id, term, idf`` of the asked terms that occur, and the records' average length."""
-    wanted = asked.select("term").distinct()
-    distinct = spread(records.where(F.col(record).isNotNull()).select(F.col(text))).select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    counted = distinct.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(records, record, text).first()
-    weighed = asked.join(counted, "term").select("query_id", "term", idf(F.lit(stats.n), F.col("df")).alias("idf"))
-    return pd.DataFrame(weighed.collect(), columns=["query_id", "term", "idf"]), float(stats.average)
+    """``query_id, term, idf`` of the asked terms that occur, and the records' average length; the records are read once."""
+    spark = records.sparkSession
+    wanted = pd.DataFrame(asked.collect(), columns=["query_id", "term"])
+    # The empty term, which no text has, stands for the records themselves: its count is theirs, its lengths are all.
+    names = spark.createDataFrame([(t,) for t in {"", *wanted["term"]}], "term string")
+    split = spread(records.where(F.col(record).isNotNull()).select(F.col(text))).select(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("all"))
+    each = split.select(F.size("all").alias("length"), F.explode(F.concat(F.array_distinct("all"), F.array(F.lit("")))).alias("term"))
+    counted = each.join(names, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total")).collect()
+    df = {r.term: r.df for r in counted}
+    whole = next((r for r in counted if r.term == ""), None)
+    if whole is None:
+        return wanted[:0].assign(idf=0.0), 0.0
+    found = wanted[wanted["term"].isin(df)].copy()
+    found["idf"] = [math.log(1.0 + (whole.df - df[t] + 0.5) / (df[t] + 0.5)) for t in found["term"]]
+    return found, whole.total / whole.df
 
 
 class _Scorer:

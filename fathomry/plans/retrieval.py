@@ -11,7 +11,7 @@ from fathomry.operators.search import run_summary, search
 from fathomry.operators.vector import vector_candidates
 from fathomry.plans.registry import Registry
 from fathomry.plans.tables import CHUNKS_SQL, DOCS_SQL, cosine_sql, current_chunks, current_documents, mock_sql, terms_sql
-from fathomry.session import settle, table
+from fathomry.session import settle, spread, table
 
 registry = Registry()
 DIMENSION = 32
@@ -100,7 +100,7 @@ def cosine_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf_dir: str, mode: str, explain: bool = False, **filters) -> DataFrame:
     # Read several times: for the statistics, the scores and what is shown of the results.
-    chunks = settle(current_chunks(spark, sf_dir))
+    chunks = settle(spread(current_chunks(spark, sf_dir)))
     asked = questions(spark, sf_dir).withColumn("vector", mock_embedding(F.col("text"), DIMENSION))
     for name, value in filters.items():
         asked = asked.withColumn(name, value)
