@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from fathomry.functions import ids, text
 from fathomry.functions.paths import extension, normal_path, path_matches
 from fathomry.functions.vectors import mock_embedding
-from fathomry.operators.chunking import MARKDOWN, PLAIN, ChunkingConfig, chunk_documents
+from fathomry.operators.chunking import ChunkingConfig, chunk_documents
 from fathomry.operators.filters import passes
 from fathomry.operators.ingest import chunk_metadata, file_outcomes, missing_documents
 from fathomry.operators.keyword import corpus_stats, term_stats
 from fathomry.plans.registry import Registry
 from fathomry.plans.tables import CHUNKS_SQL, DOCS_SQL, current_chunks, current_documents, mock_sql, preview_sql, terms_sql, words_sql
 from fathomry.session import spread, table
+from fathomry.sources.files import parser_of, skip_reason
 
 registry = Registry()
 
@@ -105,9 +106,7 @@ def chunk_metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def parser_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "ingestion_docs").select("id", "source_path").distinct().withColumn("extension", extension(F.col("source_path")))
-    ext = F.col("extension")
-    parser = F.when(ext.isin(*MARKDOWN), "markdown").when(ext.isin(*PLAIN), "text")
-    return rows.select("id", "extension", parser.alias("parser"), F.when(parser.isNull(), F.concat(F.lit("unsupported extension '."), ext, F.lit("'"))).alias("skipped"))
+    return rows.select("id", "extension", parser_of(F.col("extension")).alias("parser"), skip_reason(F.col("extension")).alias("skipped"))
 
 
 def _chunked(spark: SparkSession, sf_dir: str, kind: str, config: ChunkingConfig) -> DataFrame:

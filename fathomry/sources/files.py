@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomry.functions.ids import content_hash, document_id
@@ -50,6 +50,15 @@ def scan_distributed(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.regexp_replace("path", "^file:(//)?", "").alias("source_path"), "content", F.lit(None).cast("string").alias("error"))
 
 
+def parser_of(ext: Column) -> Column:
+    """Which parser reads files of an extension; null where none does."""
+    return F.when(ext.isin(*MARKDOWN), "markdown").when(ext.isin(*PLAIN), "text")
+
+
+def skip_reason(ext: Column) -> Column:
+    return F.when(parser_of(ext).isNull(), F.concat(F.lit("unsupported extension '."), ext, F.lit("'")))
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Files with their ids, hash, text and title; ``skipped`` and ``error`` say why one has no text.
 
@@ -57,8 +66,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     title is a Markdown file's first level-one heading.
     """
     ext = extension(F.col("source_path"))
-    known = ext.isin(*MARKDOWN, *PLAIN)
-    skipped = F.when(~known, F.concat(F.lit("unsupported extension '."), ext, F.lit("'")))
+    known, skipped = parser_of(ext).isNotNull(), skip_reason(ext)
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     error = F.when(known, F.coalesce("error", F.when(F.col("content").isNull(), "no content"), F.when(~valid, "not valid UTF-8")))
     text = F.when(known & error.isNull(), F.col("content").cast("string"))
